@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import cut
-from .postings import PACKED, batch_number, batches, bucket_bits, distinct, document_row, keyed, list_of, mix_int, pack_steps, read_document_row, real_id, shared_grams, squeeze, table, unpack_steps, unsqueeze
+from .postings import NO_ID, PACKED, batch_number, batches, bucket_bits, distinct, document_row, keyed, list_of, mix_int, pack_steps, read_document_row, real_id, shared_grams, squeeze, table, unpack_steps, unsqueeze
 
 _SPOTS = "doc_id long, th long, spots array<int>"
 
