@@ -29,17 +29,68 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-_CACHE = 400_000
+#: Words kept by a Python worker, about 200 bytes each.
+_CACHE = 700_000
 _loaded: dict = {}
+_MARKS = b".,!?;:%$*&#|"
+
+
+def _ids(e) -> bytes:
+    return np.array(e.ids, "<u4").tobytes()
+
+
+def learn(words: set, cache: dict, tokenizer, ends: np.ndarray) -> None:
+    """Adds the ids (little-endian uint32 bytes) of ``words``, none of which the cache has.
+
+    No token crosses ASCII white space, ASCII case is folded by the tokenizer
+    anyway, and a run of marks behind a letter is a pre-token of its own; so a
+    word's ids are those of its lower-case stem and marks. Stems that are
+    letters only are one pre-token each, whose last token ends a word: many go
+    through the tokenizer as one text and are told apart by that.
+    """
+    parts, stems, rest = {}, set(), set()
+    for w in words:
+        low = w.lower()
+        stem = low.rstrip(_MARKS)
+        try:
+            text = stem.decode()
+        except UnicodeDecodeError:
+            text = ""
+        if text.isalpha():
+            parts[w] = stem, low[len(stem) :]
+            if stem not in cache:
+                stems.add(stem)
+            if len(stem) < len(low) and low[len(stem) :] not in cache:
+                rest.add(low[len(stem) :])
+        else:
+            rest.add(w)
+    stems = list(stems)
+    for lo in range(0, len(stems), 1000):
+        some = stems[lo : lo + 1000]
+        ids = np.array(tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(ends[ids]) + 1
+        if len(at) == len(some) and at[-1] == len(ids):
+            raw, at = ids.tobytes(), [0, *(4 * at).tolist()]
+            for i, w in enumerate(some):
+                cache[w] = raw[at[i] : at[i + 1]]
+        else:
+            rest.update(some)
+    rest = list(rest)
+    for lo in range(0, len(rest), 5000):
+        some = rest[lo : lo + 5000]
+        for w, e in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+            cache[w] = _ids(e)
+    for w, (stem, marks) in parts.items():
+        if w not in cache:
+            cache[w] = cache[stem] + cache[marks] if marks else cache[stem]
 
 
-def word_ids(words: set, cache: dict, tokenizer) -> None:
-    """Ids (little-endian uint32 bytes) of words that the cache lacks. No token crosses ASCII white space."""
-    new = [w for w in words if w not in cache]
-    for lo in range(0, len(new), 20_000):
-        some = new[lo : lo + 20_000]
-        for w, e in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+def word_ends(tokenizer) -> np.ndarray:
+    """For each id whether its token ends a word; no id does, if the tokenizer doesn't mark it."""
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith("</w>")
+    return ends
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
@@ -52,19 +103,29 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
         from tokenizers import Tokenizer
 
         if tokenizer_path not in _loaded:
-            _loaded[tokenizer_path] = Tokenizer.from_file(tokenizer_path), {}
-        tokenizer, cache = _loaded[tokenizer_path]
+            own = Tokenizer.from_file(tokenizer_path)
+            _loaded[tokenizer_path] = own, {}, word_ends(own)
+        tokenizer, cache, ends = _loaded[tokenizer_path]
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for rb in rows:
             ids, texts = rb.column("doc_id").to_pylist(), rb.column("text")
-            for lo in range(0, len(ids), 256):
+            for lo in range(0, len(ids), 64):
                 out = []
-                split = [x.encode().split() if x else [] for x in texts.slice(lo, 256).to_pylist()]
+                split = [x.encode().split() if x else [] for x in texts.slice(lo, 64).to_pylist()]
                 if len(cache) > _CACHE:
                     cache.clear()
-                word_ids(set().union(*split), cache, tokenizer)
-                for doc_id, w in zip(ids[lo : lo + 256], split, strict=True):
-                    all_ids = b"".join(map(cache.__getitem__, w)) + end
+                get, found = cache.get, []
+                missing: set = set()
+                for w in split:
+                    got = list(map(get, w))
+                    if None in got:
+                        missing.update(x for x, g in zip(w, got, strict=True) if g is None)
+                        got = None
+                    found.append(got)
+                if missing:
+                    learn(missing, cache, tokenizer, ends)
+                for doc_id, w, got in zip(ids[lo : lo + 64], split, found, strict=True):
+                    all_ids = b"".join(map(cache.__getitem__, w) if got is None else got) + end
                     for k in range(0, len(all_ids), step):
                         part = all_ids[k : k + step]
                         out.append((doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").tolist() if keep_ids else None))
