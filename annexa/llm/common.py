@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,21 +22,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or have
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, big: bool = False) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder.
 
     Lost executors do not matter after this: the rows are reread, not
-    recomputed. Spark's cleaner drops the files with the last reference; the
-    collection asked for here lets it drop the shuffles behind the cut, so the
-    disk holds one step at a time.
+    recomputed. Spark's cleaner drops the files with the last reference. big:
+    collect garbage at once, so that it drops the shuffles behind the cut and
+    the disk holds one step at a time.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     out = df.checkpoint()
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    del df  # else its shuffles live on until the next cut
+    if big:
+        release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffles that no DataFrame needs any more; Python's references reach the JVM with a delay."""
+    gc.collect()
+    time.sleep(1.2)
+    spark._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as longs ``(a, b)``.
 

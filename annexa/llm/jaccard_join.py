@@ -89,7 +89,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
             "name": pa.array(names, pa.binary()), "grp": pa.array(groups, pa.binary()), "prefix": lists(prefixes), "keys": lists(sets),
         })
 
-    rows = cut(shared_grams(keyed(docs), grams, True, False, per_batch, "doc_id long, n long, lone long, name binary, grp binary, prefix array<long>, keys array<long>"))
+    rows = cut(shared_grams(keyed(docs), grams, True, False, per_batch, "doc_id long, n long, lone long, name binary, grp binary, prefix array<long>, keys array<long>"), big=True)
     held = rows.where("keys IS NOT NULL")
     variants = cut(held.groupBy("name").agg(F.min_by(F.struct("doc_id", "n", "lone", "grp", "prefix", "keys"), "doc_id").alias("s")).select("name", F.col("s.doc_id").alias("vid"), "s.n", "s.lone", "s.grp", "s.prefix", "s.keys"))
     groups = variants.groupBy("grp").agg(F.min_by(F.struct("vid", "n", "lone", "prefix"), "vid").alias("s"), F.count("*").alias("size")).select("grp", F.col("s.vid").alias("gid"), "s.n", "s.lone", "s.prefix", "size")

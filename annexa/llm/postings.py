@@ -138,7 +138,7 @@ def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_
     once_a_row: count rows with the hash, else occurrences. need_mark: a hash
     counts only if one of its occurrences is marked. per_batch(ids, hashes,
     counts, stream, positions, df, keys) -> pa.Table: df has each number's
-    count (1 where not shared), keys its bucket and hash rest. once: see batches().
+    count (1 where not shared; with need_mark 2 where it is), keys its bucket and hash rest. once: see batches().
     """
     bits = bucket_bits(docs)
 
@@ -202,7 +202,7 @@ def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_
                 hit = np.flatnonzero(d)
                 if len(hit):
                     idx = unpack_steps(t["b"][i].as_py())[hit]
-                    out.append((key, t["batch"][i].as_py(), 0, pack_steps(idx), squeeze(np.minimum(d[hit], 0xFFFFFFFF).astype(np.uint32)), b"" if need_mark else rest[at + hit].tobytes()))
+                    out.append((key, t["batch"][i].as_py(), 0, pack_steps(idx), b"" if need_mark else squeeze(np.minimum(d[hit], 0xFFFFFFFF).astype(np.uint32)), b"" if need_mark else rest[at + hit].tobytes()))
                 at += s
         return table(out)
 
@@ -216,7 +216,7 @@ def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_
         for i, kind in enumerate(kinds):
             if kind == 0:
                 idx = unpack_steps(t["a"][i].as_py())
-                df[idx] = unsqueeze(t["b"][i].as_py(), np.uint32)
+                df[idx] = 2 if need_mark else unsqueeze(t["b"][i].as_py(), np.uint32)
                 if not need_mark:
                     keys[idx] = (t["key"][i].as_py() << 32) + np.frombuffer(t["c"][i].as_py(), np.uint32).astype(np.int64)
         return per_batch(ids, th, counts, stream, pos, df, keys)

@@ -154,8 +154,8 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < 2:
         raise ValueError("window must be 2 words at least")
     own = keyed(docs)
-    hits = cut(anchor_hits(own, window))
-    late = cut(later_windows(own, hits, window)).dropDuplicates(["doc_id", "th"])
+    hits = cut(anchor_hits(own, window), big=True)
+    late = cut(later_windows(own, hits, window), big=True).dropDuplicates(["doc_id", "th"])
     whole = own.join(late, ["doc_id", "th"], "left").select("doc_id", "th", "text", "spots")
 
     def keep(rows):
