@@ -47,7 +47,9 @@ def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def build_dictionary(pages: DataFrame, samples: int = 256, size: int = 65_536) -> bytes:
     """A dictionary from ``samples`` records, 16 KB of each at most."""
-    pick = pages.where("html <> ''").select(F.substring("html", 1, 16_384).alias("h"), F.xxhash64("page_id").alias("k")).orderBy("k", "h").limit(samples)
+    # keys first: what the driver gathers is the samples, however many partitions there are
+    keys = pages.where("html <> ''").select("page_id", F.xxhash64("page_id").alias("k")).orderBy("k").limit(samples).select("page_id").distinct()
+    pick = pages.select("page_id", F.substring("html", 1, 16_384).alias("h")).where("h <> ''").join(F.broadcast(keys), "page_id").orderBy("page_id", "h").limit(samples)
     parts = [r["h"].encode()[k : k + 2048] for r in pick.collect() for k in range(0, len(r["h"]), 2048)]
     try:
         return zstandard.train_dictionary(size, parts, k=200, d=8).as_bytes()
@@ -137,8 +139,8 @@ def parse_records(stream):
             raise ValueError("not a WARC record")
         headers = {}
         while line := data.readline().strip():
-            k, _, v = line.decode().partition(": ")
-            headers[k] = v
+            k, _, v = line.decode().partition(":")
+            headers[k] = v.strip()
         payload = data.read(int(headers["Content-Length"]))
         if data.read() != b"\r\n\r\n":
             raise ValueError("a record's length is wrong")
