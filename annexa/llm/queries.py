@@ -65,11 +65,43 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_substring_dedup, op3_template_extraction, op4_warc_writer, op5_chat_format, op6_pareto_mixing, op7_jaccard_join, op8_compression_quality, op9_best_fit_packing, op10_cover_tree)}
 
-#: Where SQL states the result: the round trip returns the source, so plain SQL over the source gives op5 but for the
-#: template's own overhead, which is a sum over turns.
-_TURNS = """
-WITH src AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-)"""
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: Where SQL can state the result on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS i, w FROM d WHERE len(w) >= 20),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+words AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM d),
+gone AS (SELECT words.doc_id, words.i, word, max((late.i IS NOT NULL)::INT) OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS 19 PRECEDING) AS g FROM words LEFT JOIN late ON late.doc_id = words.doc_id AND late.i = words.i),
+k AS (SELECT doc_id, count(*) AS n_words, sum(g)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (g = 0), '') AS kept FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op4_warc_writer": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM q),
+v AS (SELECT *, list_transform(range(0, 8), lambda g: list_sum(list_transform(range(1, 6), lambda j: (instr('0123456789abcdef', x[5 * g + j]) - 1) * (1 << (4 * (5 - j)))))::BIGINT) AS parts FROM m)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM v""",
+    "op5_chat_format": """
+WITH src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, bool_or(contains(text, '</s>')) OVER (PARTITION BY conv_id) AND regexp_matches(text, '[<\\[\\]]') AS e, CASE role WHEN 'user' THEN 4 WHEN 'system' THEN 3 WHEN 'assistant' THEN 3 ELSE 5 + length(role) END AS tag FROM src)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(length(text) + 14 + 2 * tag + CASE WHEN e THEN 2 + length(regexp_replace(text, '[^~<\\[\\]]', '', 'g')) ELSE 0 END)::BIGINT AS formatted_chars FROM t GROUP BY conv_id""",
+    "op7_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.k + y.k - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS i, doc_id AS c FROM d UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.i WHERE r.c < u.b)
+SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, min(r.c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.i = d.doc_id GROUP BY 1, 2""",
+    "op10_cover_tree": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS i, vec_id AS c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.i WHERE r.c < e.b),
+k AS (SELECT i, min(c) AS c FROM r GROUP BY i), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN k ON k.i = vec_id LEFT JOIN n ON n.a = vec_id""",
+}
