@@ -90,7 +90,7 @@ def answer(c) -> Column:
 def as_set(c) -> Column:
     """A list answer as a sorted set: separators , and ;, bars as colons, no space around colons."""
     t = F.regexp_replace(F.regexp_replace(label(c), r"\|", ":"), r"\s*:\s*", ":")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(t, "[,;]"), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(t, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def same_answer(a, b) -> Column:
@@ -104,7 +104,7 @@ def answer_tag(c) -> Column:
 
 def first_number(c, low: float = 0.0, high: float = 1.0) -> Column:
     x = F.regexp_extract(_c(c), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def letters(c, least: int = 2) -> Column:

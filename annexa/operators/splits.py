@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def group_folds(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
+def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, greedy: bool = False) -> DataFrame:
     """``df`` with a fold: no group in two folds, each fold near the overall share of label 1.
 
-    Rows are counted per group in Spark; only these counts meet in one task,
-    where the groups, most one-sided and largest first (ties by a hash), go to
-    the fold that then is nearest to the overall share and to an equal size.
+    Rows are counted per group in Spark; only these counts meet in one task.
+    There the groups, most one-sided first (ties by size, then by a hash), go
+    to the fold that leaves both labels spread most evenly over the folds, or
+    (greedy) to the one then nearest to the overall share and an equal size.
     """
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -20,12 +22,21 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFr
             raise ValueError("fewer groups than folds")
         pdf = pdf.sort_values(["side", "n", "h", group], ascending=[False, False, True, True])
         goal, share = pdf["n"].sum() / folds, pdf["y"].sum() / max(1, pdf["n"].sum())
-        size, ones, out = [0] * folds, [0] * folds, []
+        all_ = np.maximum(1, np.array([pdf["n"].sum() - pdf["y"].sum(), pdf["y"].sum()]))
+        held, out = np.zeros((folds, 2)), []
         for n, y in zip(pdf["n"], pdf["y"], strict=True):
-            cost = [abs((ones[k] + y) / (size[k] + n) - share) + 0.1 * abs(size[k] + n - goal) / goal for k in range(folds)]
+            own = np.array([n - y, y])
+            cost = []
+            for k in range(folds):
+                size = held[k].sum() + n
+                if greedy:
+                    cost.append((abs((held[k][1] + y) / size - share) + 0.1 * abs(size - goal) / goal, 0))
+                else:
+                    held[k] += own
+                    cost.append((round(float((held / all_).std(axis=0).mean()), 12), size))
+                    held[k] -= own
             k = cost.index(min(cost))
-            size[k] += n
-            ones[k] += y
+            held[k] += own
             out.append(k)
         return pd.DataFrame({group: pdf[group], "fold": out})
 
