@@ -15,9 +15,15 @@ def event_sequence(c) -> Column:
     return F.filter(F.transform(cut, lambda x: F.regexp_replace(x, r"^[\s'\"]+|[\s'\"]+$", "")), lambda x: x != "")
 
 
-def tokens(c) -> Column:
+def clean_tokens(a: Column) -> Column:
+    """Quotes around and stops behind each item dropped, white space as underscores, empty items left out."""
     clean = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^[\s'\"]+|[\s'\"]+$", ""), r"[.;]+$", ""), r"\s+", "_")
-    return F.filter(F.transform(F.split(_c(c), ","), clean), lambda x: x != "")
+    return F.filter(F.transform(a, clean), lambda x: x != "")
+
+
+def tokens(c) -> Column:
+    """Items of a comma list; null gives none."""
+    return clean_tokens(F.split(F.coalesce(_c(c), F.lit("")), ","))
 
 
 def distinct_in_order(order, value) -> Column:
@@ -66,3 +72,11 @@ def windows(duration: str, width: int, step: int) -> Column:
 def ngrams(a, n: int) -> Column:
     a = _c(a)
     return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.slice(a, i, n))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def common_share(a, b) -> Column:
+    """Size of the multiset intersection of two lists over that of their union; 1 for equal lists, 0 if one is empty."""
+    a, b = _c(a), _c(b)
+    times = lambda x, v: F.size(F.filter(x, lambda w: w == v))
+    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, v: s + F.least(times(a, v), times(b, v)))
+    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))

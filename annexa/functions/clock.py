@@ -42,3 +42,33 @@ def found(c) -> Column:
 def duration(start, end) -> Column:
     a, b = mmss(start, False), mmss(end, False)
     return F.when(b >= a, to_mmss(b - a)).otherwise("N/A")
+
+
+def strict(c) -> Column:
+    """The first clock text if both parts are at most 59, else N/A; not looked for further."""
+    m, s = (F.regexp_extract(_c(c), r"(\d{1,2}):(\d\d)", i).try_cast("int") for i in (1, 2))
+    return F.when((m <= 59) & (s <= 59), F.concat(_two(m), F.lit(":"), _two(s))).otherwise("N/A")
+
+
+def rounded(c) -> Column:
+    """Seconds to MM:SS with the seconds rounded half to even; 59.5 and more carry into the minutes. Not a number: N/A."""
+    s = F.bround(_c(c).try_cast("double")).try_cast("int")
+    return F.coalesce(to_mmss(s), F.lit("N/A"))
+
+
+def from_frame(c, fps: int = 1) -> Column:
+    """A frame number's time; N/A without a whole number."""
+    return F.coalesce(to_mmss(F.floor(F.trim(_c(c)).try_cast("int") / fps)), F.lit("N/A"))
+
+
+def span(c) -> Column:
+    """struct<start, end> from the first object of a reply, its clock texts quoted or not; N/A where one is missing."""
+    body = F.regexp_extract(_c(c), r"(?s)(\{.*?\})", 1)
+
+    def part(name: str) -> Column:
+        raw = F.regexp_extract(body, rf"""["']{name}["']\s*:\s*["']?\s*([0-9:.]+)""", 1)
+        plain = F.regexp_replace(raw, r"\.\d+$", "")
+        # of H:MM:SS the last two parts count
+        return strict(F.regexp_replace(plain, r"^\d{1,2}:(\d\d:\d\d)$", "$1"))
+
+    return F.struct(part("start_time").alias("start"), part("end_time").alias("end"))

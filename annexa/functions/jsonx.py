@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _c
 
+#: Quotes, braces, and escaped signs.
+_SIGNS = re.compile(r'\\.|["{}]', re.S)
+
 
 def unfenced(c) -> Column:
     inner = F.regexp_extract(_c(c), r"```(?:json)?\s*([\s\S]*?)```", 1)
@@ -30,3 +37,75 @@ def lenient(c, schema: str) -> Column:
 
 def list_of_text(c) -> Column:
     return F.coalesce(F.from_json(_c(c), "array<string>"), F.array().cast("array<string>"))
+
+
+@F.pandas_udf(T.StringType())
+def _balanced(texts: pd.Series) -> pd.Series:
+    def one(t: str | None) -> str | None:
+        depth = start = 0
+        quoted = False
+        for m in _SIGNS.finditer(t or ""):
+            sign = m.group()
+            if sign == '"':
+                quoted = not quoted
+            elif quoted or len(sign) > 1:
+                continue
+            elif sign == "{":
+                start, depth = (m.start() if depth == 0 else start), depth + 1
+            elif depth:
+                depth -= 1
+                if depth == 0:
+                    return t[start : m.end()]
+        return None
+
+    return texts.map(one, na_action="ignore")
+
+
+def balanced_object(c) -> Column:
+    """The first object whose braces balance outside of quoted text, behind a fence if there is one; null without one."""
+    return _balanced(unfenced(c))
+
+
+def _unquoted(c: Column) -> Column:
+    t = F.trim(F.replace(F.replace(c, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'")))
+    for name, sign in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'")):
+        t = F.replace(t, F.lit(name), F.lit(sign))
+    for _ in range(3):
+        t = F.trim(F.regexp_replace(t, "(?s)^(?:\"(.*)\"|'(.*)'|“(.*)”|‘(.*)’)$", "$1$2$3$4"))
+    return t
+
+
+def _repaired(c: Column) -> Column:
+    t = F.regexp_replace(F.regexp_replace(F.trim(c), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    body = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    t = F.regexp_replace(F.regexp_replace(F.when(body != "", body).otherwise(t), r"(?<!\\)'", '"'), r",\s*([}\]])", "$1")
+    for name, value in (("None", '"N/A"'), ("True", '"yes"'), ("False", '"no"')):
+        t = F.replace(t, F.lit(name), F.lit(value))
+    return t
+
+
+def reply(c, free_text: bool = False) -> Column:
+    """struct<answer, justification> of a model's reply, in stages: repaired JSON; the two fields by pattern; nothing.
+
+    answer is yes, no, na or fail (an answer field holding one of the words,
+    in this order, counts). A justification that is JSON again gives its own
+    justification, reason, explanation or rationale. free_text: where no field
+    says it, the first of na, yes and no found anywhere in the reply does.
+    """
+    raw = F.coalesce(_c(c), F.lit(""))
+    fixed = _repaired(raw)
+    parsed = F.try_parse_json(fixed)
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    get = lambda v, name: F.try_variant_get(v, "$." + name, "string")
+    by_pattern = lambda t, p: F.regexp_extract(t, p, 1)
+    said = F.when(is_object, get(parsed, "answer")).otherwise(by_pattern(fixed, r'(?i)"answer"\s*:\s*"(yes|no|na)"'))
+    said = F.lower(F.trim(F.coalesce(said, F.lit(""))))
+    word = F.when(said.contains("yes"), "yes").when(said.contains("no"), "no").when(said.contains("na"), "na")
+    word = F.when(said.isin("yes", "no", "na"), said).otherwise(word)
+    if free_text:
+        low = F.lower(raw)
+        word = F.coalesce(word, F.when(low.rlike(r"\bna\b"), "na").when(low.rlike(r"\byes\b"), "yes").when(low.rlike(r"\bno\b"), "no"))
+    why = F.trim(F.coalesce(F.when(is_object, get(parsed, "justification")).otherwise(by_pattern(fixed, r'(?is)"justification"\s*:\s*"(.*?)"')), F.lit("")))
+    inner = F.try_parse_json(F.when(why.startswith("{") & why.endswith("}"), _repaired(why)))
+    own = F.coalesce(*(get(inner, k) for k in ("justification", "reason", "explanation", "rationale")), F.nullif(by_pattern(why, r'(?is)"justification"\s*:\s*"(.*?)"'), F.lit("")), why)
+    return F.struct(F.coalesce(word, F.lit("fail")).alias("answer"), _unquoted(own).alias("justification"))

@@ -1,13 +1,14 @@
 """Kernels on the cases that matter: ties, blanks, malformed text, borders."""
 
+import math
 import random
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from annexa.functions import arrays, clock, jsonx, text
-from annexa.operators import joins, metrics, records, rollup, scoring, splits
+from annexa.functions import arrays, clock, jsonx, numeric, text, textscore
+from annexa.operators import joins, metrics, records, rewards, rollup, scoring, splits, templates
 from annexa.sources import readers
 from annexa.streaming.ingest import ingest_once
 
@@ -142,3 +143,148 @@ def test_sources_and_stream(spark, tmp_path):
         (tmp_path / f"s/{n}.json").write_text(rows)
         ingest_once(spark, f"{tmp_path}/s", "k string", f"{tmp_path}/out", f"{tmp_path}/cp", "k").awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+L = F.lit
+
+
+def test_stems():
+    pairs = "caresses caress ponies poni ties tie cats cat feed feed agreed agre plastered plaster motoring motor conflated conflat sized size hopping hop falling fall filing file happy happi relational relat conditional condit vietnamization vietnam hopefulness hope electrical electr adoption adopt controll control dying die died die sky sky enjoy enjoy"
+    w = pairs.split()
+    assert [textscore.stem(x) for x in w[::2]] == w[1::2]
+
+
+def test_rouge_and_bleu(spark):
+    r = one(spark, textscore.rouge(L("The cats sat; the mat"), L("the cat sat on a mat")))
+    assert r["rouge1"] == pytest.approx(2 * 4 / 11) and r["rouge_l"] == pytest.approx(2 * 4 / 11)
+    assert tuple(one(spark, textscore.rouge(L(None).cast("string"), L("x")))) == (0.0, 0.0)
+    assert one(spark, textscore.tokens_13a(L("He's 3,5 &amp; 5-6, (ok).\nEnd!"))) == ["He's", "3,5", "&", "5", "-", "6", ",", "(", "ok", ")", ".", "End", "!"]
+    same = "the quick brown fox jumps"
+    assert one(spark, textscore.sentence_bleu(L(same), L(same))) == pytest.approx(100)
+    assert one(spark, textscore.sentence_bleu(L("the cat"), L("the cat sat down"))) == pytest.approx(100 * math.exp(-1))
+    assert one(spark, textscore.sentence_bleu(L("a b c d e"), L("a x c y e"))) == pytest.approx(100 * (3 / 5 * 1 / 8 * 1 / 12 * 1 / 16) ** 0.25)
+    assert one(spark, textscore.sentence_bleu(L("a"), L("b"))) == 0 and one(spark, textscore.sentence_bleu(L(""), L("b"))) == 0
+    df = spark.createDataFrame([(1, "a b c d", "a b c d"), (1, "e f g", "e f h"), (2, "a", "a")], "k int, p string, r string")
+    got = {r["k"]: r["b"] for r in df.withColumn("c", textscore.bleu_counts("p", "r")).groupBy("k").agg(textscore.corpus_bleu("c").alias("b")).collect()}
+    assert got[1] == pytest.approx(100 * (6 / 7 * 4 / 5 * 2 / 3 * 1) ** 0.25) and got[2] == 0
+
+
+def test_edit_paths(spark):
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        path = textscore.edit_path(a, b)
+        assert sum(op != "equal" for op, _, _ in path) == lev(a, b) and textscore.lcs_length(a, b) == lcs(a, b)
+        made = [a[i] if op == "equal" else b[j] for op, i, j in path if op != "delete"]
+        assert made == b and [i for op, i, _ in path if op != "insert"] == list(range(len(a)))
+    f1 = lambda a, b, compat=False: one(spark, textscore.aligned_f1(F.array(*map(L, a)).cast("array<string>"), F.array(*map(L, b)).cast("array<string>"), compat))
+    assert (f1([], []), f1(["a"], []), f1(["a", "b"], ["a", "c"])) == (1.0, 0.0, 0.5)
+    assert f1(["a", "b", "c"], ["a"]) == pytest.approx(1 / 3) and f1(["a", "b", "c"], ["a"], True) == 1.0
+
+
+def test_greedy_cosine(spark):
+    p, r = F.expr("array(array(1D, 0D), array(0D, 2D))"), F.expr("array(array(1D, 1D))")
+    x = one(spark, textscore.greedy_cosine(p, r))
+    assert x["precision"] == pytest.approx(0.5**0.5) and x["recall"] == pytest.approx(0.5**0.5)
+    assert one(spark, textscore.greedy_cosine(p, F.expr("cast(array() as array<array<double>>)")))["f1"] == 0
+
+
+def test_normalisers(spark):
+    assert values(spark, ["bright", "Left arm", "the left leg, then EYES", None], text.region) == ["fail", "left arm", "eyes", "fail"]
+    assert values(spark, ["bright light"], text.direction) == ["fail"]
+    assert values(spark, ["yn: Yes ", "maybe", None, "L"], text.answer_yes_no) == ["yes", "no", "no", "no"]
+    assert values(spark, ["yes", "maybe"], lambda c: text.answer_yes_no(c, True)) == ["yes", None]
+    assert values(spark, ["L", "right", "both"], text.answer_side) == ["left", "right", "neither"]
+    assert values(spark, ["B; a\nx，b", "", None], lambda c: text.answer_choices(c, ["a", "b"])) == ["a, b", "unknown", "unknown"]
+    assert values(spark, ["A", "c"], lambda c: text.answer_choice(c, ["a"])) == ["a", "unknown"]
+    assert values(spark, ["yes, it", "No way", "", None, "yes it"], text.first_word_flag) == ["NA", "0", "NA", "NA", "1"]
+    assert values(spark, ["Misaligned!", "aligned", "?"], text.verdict) == ["misaligned", "aligned", "unclear"]
+    assert values(spark, ["Head turn and tonic"], lambda c: text.keywords(c, ["tonic", "clonic", "head_turn"])) == [["tonic", "head_turn"]]
+    assert values(spark, ["a ||  || nan|| b", None], text.joined_parts) == [["a", "b"], []]
+    assert values(spark, ["x/Qwen2.5-VL-7B-Instruct_all.csv", "m/Foo/t.csv"], lambda c: text.model_name(c, ["Qwen", "InternVL"])) == ["Qwen2.5-VL-7B", "Foo"]
+    assert values(spark, ["a:b/c"], text.sheet_name) == ["a_b_c"] and values(spark, ["Q-w_2.5"], text.model_key) == ["qw25"]
+    assert values(spark, ["tonic", None], lambda c: text.filled('When does {f} start? {{"t": 1}}', f=c)) == ['When does tonic start? {"t": 1}', 'When does  start? {"t": 1}']
+    assert values(spark, ["The thrusting."], lambda c: text.replaced(c, {"thrust(?:ing)?": "pushing"})) == ["The pushing."]
+
+
+def test_clock_and_numbers(spark):
+    assert values(spark, ["at 1:05.7", "02:75", "99:10", None], clock.strict) == ["01:05", "N/A", "N/A", "N/A"]
+    assert values(spark, ["59.6", "61.5", "x"], clock.rounded) == ["01:00", "01:02", "N/A"]
+    assert values(spark, ["75", "N/A", None], clock.from_frame) == ["01:15", "N/A", "N/A"]
+    got = values(spark, ['```json\n{"start_time": 01:02, "end_time": "0:01:30"}\n```', "{'start_time': '1:02.5', 'end_time': null}", "none"], clock.span)
+    assert [tuple(x) for x in got] == [("01:02", "01:30"), ("01:02", "N/A"), ("N/A", "N/A")]
+    assert values(spark, [2.675, 0.125, 2.5, None], numeric.round_exact, "double") == [2.67, 0.12, 2.5, None]
+    assert values(spark, [10, 0, 1], lambda c: numeric.even_indices(c, 4), "int") == [[0, 3, 6, 9], [], [0, 0, 0, 0]]
+    assert values(spark, [99], lambda c: numeric.centre_indices(L(None), L(None), L(25.0), c, 4), "int") == [[12, 37, 62, 86]]
+    assert values(spark, ["3.7", "x", None], numeric.whole_number) == [3, 0, 0]
+
+
+def test_replies(spark):
+    assert values(spark, ['a {"x": "}{", "y": {"z": 1}} b {', "{ {}", "no", None], jsonx.balanced_object) == ['{"x": "}{", "y": {"z": 1}}', None, None, None]
+    r = ['```json\n{"answer": "Yes", "justification": "He \'said\' so",}\n```', "{'answer': True, 'justification': 'plain'}", 'bad {"answer": "no", "justification": "cut', "I think yes", None,
+         '{"answer": "na", "justification": "{\\"reason\\": \\"inner\\"}"}']
+    got = [tuple(x) for x in values(spark, r, jsonx.reply)]
+    assert got[1:] == [("yes", "plain"), ("no", ""), ("fail", ""), ("fail", ""), ("na", "inner")]
+    assert got[0][0] == "yes"
+    assert values(spark, r[3:4], lambda c: jsonx.reply(c, free_text=True)["answer"]) == ["yes"]
+
+
+def test_judged(spark):
+    a = '```json\n{"structural_completeness": {"overall_score": 80}, "symptom_coverage": {"score": 60}, "key_localizing_features": {"score": 100}, "temporal_fidelity": {"score": 40}, "penalties": {"hallucination_count": 2, "has_safety_issues": %s, "includes_non_seizure": %s}}\n```'
+    got = values(spark, [a % ("false", "false"), a % ("true", "true"), "sorry", None], scoring.judged_quality)
+    assert got == [pytest.approx(56), pytest.approx(32), None, None]
+    b = '{"structural_completeness": {"onset": {"gt": true, "vlm": true}, "postictal": {"gt": true, "vlm": false}}, "symptom_coverage": {"features_found_gt": ["a", "b"], "features_found_vlm": ["a"]}, "key_localizing_features": {"figure_4": {"gt": false, "vlm": true}}, "temporal_fidelity": {"vlm_event_sequence": ["a", "b"], "gt_event_sequence": ["a", "c"]}, "penalties": {"has_safety_issues": {"gt": false, "vlm": false}, "includes_non_seizure": {"gt": false, "vlm": false}}}'
+    assert values(spark, [b, "{"], scoring.listed_quality) == [pytest.approx(37.5), None]
+    assert values(spark, [b], lambda c: scoring.listed_quality(c, L(120), compat=True)) == [pytest.approx(37.5 * 0.8 * 0.9)]
+
+
+def test_rewards(spark):
+    rows = [
+        ("task-3", "<think>t</think><answer>left</answer>", "left", 1.2), ("task-3", "right", "left", 0.0), ("task-4", '{"timestamp": "01:00"}', '{"timestamp": "01:30"}', 0.5),
+        ("task-4", "soon", '{"timestamp": "01:30"}', 0.0), ("task-5", "<answer>a, b</answer>", "a, c", 2.5), ("task-6", "one two three four", "one two three four", 1.0),
+        ("task-1-2", '{"answer": "yes", "justification": "a b c d"}', '{"answer": "yes", "justification": "a b c d"}', 1.5), ("task-1-2", '{"answer": "no"}', '{"answer": "yes"}', 0.0), ("other", "x", "x", None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, r string, s string, x double").orderBy("i")
+    assert [r["y"] for r in df.select("i", rewards.task_reward("r", "s", "t").alias("y")).orderBy("i").collect()] == [None if r[3] is None else pytest.approx(r[3]) for r in rows]
+    call = lambda *c: "<think>a b</think><tool_call>" + "\n".join(c) + "</tool_call>"
+    x, y = '{"name": "f", "parameters": {"a": 1, "b": 2}}', '{"name": "f", "parameters": {"a": 1, "c": 2}}'
+    pairs = [(call(x), call(x), 3.0), (call(y), call(x), 6 * (1 + 1 / 3 + 1) / 4 - 3), ("none", call(x), -3.0), ("none", "text", 0.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r string, s string, x double")
+    got = df.select("i", rewards.tool_calls("r", "s").alias("c"), rewards.tool_format("r", "s").alias("f"), rewards.thought_length("r", 4).alias("l")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [pytest.approx(p[2]) for p in pairs]
+    assert [r["f"] for r in got] == [1.0, 1.0, 0.0, 0.0] and [r["l"] for r in got] == [0.5, 0.5, 0.0, 0.0]
+    bags = spark.createDataFrame([(["a", "a", "b"], ["a", "c"]), ([], ["a"]), ([], [])], "a array<string>, b array<string>")
+    assert [r["x"] for r in bags.select(arrays.common_share("a", "b").alias("x")).collect()] == [0.25, 0.0, 1.0]
+
+
+def test_templates(spark):
+    t = spark.createDataFrame([("1",), ("2",), ("3",)], "k string")
+    a, b = spark.createDataFrame([(1, None), (2, "p")], "k int, x string"), spark.createDataFrame([(1, "q", "r"), (9, "s", "t")], "k int, x string, y string")
+    out = templates.align(t, "k", [a, b, t.withColumnRenamed("k", "z")], ["x", "y", "z"])
+    assert sorted(map(tuple, out.collect())) == [("1", "q", "r", None), ("2", "p", None, None), ("3", None, None, None)]
+    assert [r["k"] for r in templates.empty_rows(out, "k", ["x", "y", "z"]).collect()] == ["3"]
+    assert [r["name"] for r in templates.empty_columns(out, ["x", "y", "z"]).collect()] == ["z"]
+    assert templates.never_given([a, b], ["x", "y", "z"]) == ["z"]
+
+
+def test_file_sources(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "u.txt").write_bytes("é中".encode())
+    (tmp_path / "g.txt").write_bytes("中文".encode("gbk"))
+    assert {r["file"]: r["text"] for r in readers.text_files(spark, str(tmp_path), pattern="*.txt").collect()} == {"u.txt": "é中", "g.txt": "中文"}
+    (tmp_path / "m.csv").write_text("a,b\n1,2\n3,4\n")
+    assert readers.second_row(spark, str(tmp_path)).first()["cells"] == {"a": "3", "b": "4"}
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>head</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>x</t></is></c></row><row><c r="A2"><v>7</v></c><c r="B2" t="s"><v>1</v></c></row></sheetData></worksheet>')
+    assert [r["cells"] for r in readers.first_sheet(spark, str(tmp_path)).orderBy("row").collect()] == [["head", None, "x"], ["7", "ab"]]
+    assert sorted(r["file"] for r in readers.file_list(spark, str(tmp_path), "*.txt").collect()) == ["g.txt", "u.txt"]
+    assert [r["key"] for r in readers.done_keys(spark, f"{tmp_path}/m.csv").orderBy("key").collect()] == ["1", "3", "a"]
+    (tmp_path / "o.lst").write_text("b\n\na\n")
+    assert [(r["place"], r["value"]) for r in readers.ordered_lines(spark, f"{tmp_path}/o.lst").collect()] == [(0, "b"), (1, "a")]
