@@ -8,6 +8,7 @@ score is an ordinary aggregate with map-side partial sums.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import lru_cache
 
@@ -149,9 +150,13 @@ def _rouge(pred: pd.Series, ref: pd.Series, stems: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["rouge1", "rouge_l"])
 
 
+def words(c) -> Column:
+    """Runs of a-z and digits, lower-cased; null gives none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def rouge(pred, ref, stemmed: bool = True) -> Column:
     """struct<rouge1, rouge_l>: F1 of clipped words and of the longest common subsequence; null texts are empty."""
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     return _rouge(words(pred), words(ref), F.lit(stemmed))
 
 
@@ -166,18 +171,45 @@ def tokens_13a(c) -> Column:
     return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
 
 
+def _counts(p: list, r: list) -> tuple[list[int], list[int], int, int]:
+    hits, grams = [], []
+    for n in range(1, 5):
+        gp, gr = (Counter(zip(*(x[i:] for i in range(n)), strict=False)) for x in (p, r))
+        hits.append(sum((gp & gr).values()))
+        grams.append(max(0, len(p) - n + 1))
+    return hits, grams, len(p), len(r)
+
+
 @F.pandas_udf(_COUNTS)
 def _bleu_counts(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_counts(_list(p), _list(r)) for p, r in zip(pred, ref, strict=True)], columns=["hits", "grams", "pred_len", "ref_len"])
+
+
+def bleu_of(p: list, r: list) -> float:
+    """Sentence BLEU-4 (0 to 100) of two token lists, of the orders that ``p`` has."""
+    hits, grams, n, m = _counts(p, r)
+    if not hits[0]:
+        return 0.0
+    smooth, logs = 1.0, []
+    for h, g in zip(hits, grams, strict=True):
+        if g:
+            smooth *= 1 if h else 2
+            logs.append(math.log(100.0 * h / g if h else 100.0 / (smooth * g)))
+    return math.exp(sum(logs) / len(logs) + min(0.0, 1 - m / n))
+
+
+@F.pandas_udf(T.DoubleType())
+def _bleu_of(pred: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([bleu_of(_list(p), _list(r)) for p, r in zip(pred, ref, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _similarity(pred: pd.Series, ref: pd.Series, pred_words: pd.Series, ref_words: pd.Series) -> pd.Series:
     out = []
-    for p, r in zip(pred, ref, strict=True):
-        p, r = _list(p), _list(r)
-        hits, grams = [], []
-        for n in range(1, 5):
-            gp, gr = (Counter(zip(*(x[i:] for i in range(n)), strict=False)) for x in (p, r))
-            hits.append(sum((gp & gr).values()))
-            grams.append(max(0, len(p) - n + 1))
-        out.append((hits, grams, len(p), len(r)))
-    return pd.DataFrame(out, columns=["hits", "grams", "pred_len", "ref_len"])
+    for p, r, a, b in zip(pred, ref, pred_words, ref_words, strict=True):
+        a, b = _list(a), _list(b)
+        out.append(0.5 * (bleu_of(_list(p), _list(r)) / 100.0 + _f(lcs_length(a, b), len(a), len(b))))
+    return pd.Series(out, dtype="float64")
 
 
 def bleu_counts(pred, ref) -> Column:
@@ -185,23 +217,28 @@ def bleu_counts(pred, ref) -> Column:
     return _bleu_counts(tokens_13a(pred), tokens_13a(ref))
 
 
-def bleu(hits: Column, grams: Column, pred_len: Column, ref_len: Column, effective_order: bool = False) -> Column:
-    """BLEU-4 (0 to 100) from counts, exponential smoothing; with effective_order only orders that the text has count."""
-    zeros, logs, orders = F.lit(0), F.lit(0.0), F.lit(0)
-    for i in range(4):  # written out: a Python result may not enter a higher-order function
-        h, g = F.get(hits, F.lit(i)), F.get(grams, F.lit(i))
-        zeros = zeros + (h == 0).cast("int")
-        p = F.when(h == 0, 100.0 / (F.pow(F.lit(2.0), zeros) * g)).otherwise(100.0 * h / g)
-        logs = logs + F.when(g > 0, F.log(p)).otherwise(0.0)
-        orders = orders + (g > 0).cast("int")
+def bleu(hits: Column, grams: Column, pred_len: Column, ref_len: Column) -> Column:
+    """BLEU-4 (0 to 100) from summed counts, with exponential smoothing; 0 without n-grams of every order."""
+    at = F.sequence(F.lit(0), F.lit(3))
+    start = F.struct(F.lit(1.0).alias("smooth"), F.lit(0.0).alias("log"))
+
+    def step(s: Column, i: Column) -> Column:
+        h, g = F.get(hits, i), F.get(grams, i)
+        smooth = F.when(h == 0, s["smooth"] * 2).otherwise(s["smooth"])
+        return F.struct(smooth.alias("smooth"), (s["log"] + F.log(F.when(h == 0, 100.0 / (smooth * g)).otherwise(100.0 * h / g))).alias("log"))
+
     short = F.when(pred_len < ref_len, F.exp(1 - ref_len / pred_len)).otherwise(1.0)
-    whole = F.lit(True) if effective_order else orders == 4
-    return F.when((F.get(hits, F.lit(0)) > 0) & whole, short * F.exp(logs / orders)).otherwise(0.0)
+    return F.when((F.get(hits, F.lit(0)) > 0) & (F.array_min(grams) > 0), short * F.exp(F.aggregate(at, start, step, lambda s: s["log"] / 4))).otherwise(0.0)
 
 
 def sentence_bleu(pred, ref) -> Column:
-    c = bleu_counts(pred, ref)
-    return bleu(c["hits"], c["grams"], c["pred_len"], c["ref_len"], effective_order=True)
+    """BLEU-4 (0 to 100) of a text, of the orders that it has; null texts are empty."""
+    return _bleu_of(tokens_13a(pred), tokens_13a(ref))
+
+
+def similarity(pred, ref) -> Column:
+    """Half sentence BLEU (as a share) and half ROUGE-L on words as they stand, unstemmed; one call of Python."""
+    return _similarity(tokens_13a(pred), tokens_13a(ref), words(pred), words(ref))
 
 
 def corpus_bleu(counts: str) -> Column:

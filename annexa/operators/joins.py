@@ -31,9 +31,21 @@ def overlapping(points: DataFrame, spans: DataFrame, keys: list[str], start: str
     return p.join(s, [*keys, "_b"]).where((F.col(start) <= F.col(w_end)) & (F.col(end) >= F.col(w_start)) & (F.col("_b") == first)).drop("_b")
 
 
-def positional_diff(a: DataFrame, b: DataFrame, order_a: list, order_b: list, value: str) -> DataFrame:
-    """Two lists side by side by position: match, mismatch, missing (only in a) or extra (only in b)."""
-    place = lambda df, order, name: df.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("pos"), F.col(value).alias(name))
-    both = place(a, order_a, "left").join(place(b, order_b, "right"), "pos", "full")
+def positional_diff(a: DataFrame, b: DataFrame, order_a: list, order_b: list, value: str, keys: list[str] = ()) -> DataFrame:
+    """Two lists side by side by position: match, mismatch, missing (only in a) or extra (only in b).
+
+    keys: many pairs of lists at once, one task a list. Without keys both
+    tables are one list each and are numbered in one task, so give keys for
+    anything that grows.
+    """
+    keys = list(keys)
+    place = lambda df, order, name: df.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).alias("pos"), F.col(value).alias(name))
+    both = place(a, order_a, "left").join(place(b, order_b, "right"), [*keys, "pos"], "full")
     status = F.when(F.col("right").isNull(), "missing").when(F.col("left").isNull(), "extra").when(F.col("left") == F.col("right"), "match").otherwise("mismatch")
     return both.withColumn("status", status)
+
+
+def diff_summary(diff: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """first (the first place that differs), mismatches, missing, extra, by keys."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return diff.groupBy(*keys).agg(F.min(F.when(F.col("status") != "match", F.col("pos"))).alias("first"), count("mismatch").alias("mismatches"), count("missing").alias("missing"), count("extra").alias("extra"))

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, clock, jsonx, text
-from ..operators import joins, metrics, records, rollup, scoring, splits
+from ..functions import arrays, clock, jsonx, numeric, text, textscore
+from ..operators import joins, metrics, records, rewards, rollup, scoring, splits, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -349,3 +349,172 @@ def key_intersection(spark, sf_dir):
 def key_difference(spark, sf_dir):
     r = Tables(spark, sf_dir).region
     return r.select("r_name").subtract(r.where("r_regionkey < 3").select("r_name"))
+
+
+@query("""WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS l FROM events), b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_type AS r FROM events WHERE event_type <> 'click'),
+d AS (SELECT user_id, pos, CASE WHEN r IS NULL THEN 'missing' WHEN l IS NULL THEN 'extra' WHEN l = r THEN 'match' ELSE 'mismatch' END AS s FROM a FULL JOIN b USING (user_id, pos))
+SELECT user_id, min(pos) FILTER (s <> 'match') AS first, count(*) FILTER (s = 'mismatch') AS mismatches, count(*) FILTER (s = 'missing') AS missing, count(*) FILTER (s = 'extra') AS extra FROM d GROUP BY user_id""")
+def order_diff_by_key(spark, sf_dir):
+    e = Tables(spark, sf_dir).events.select("user_id", "ts", "event_id", "event_type")
+    diff = joins.positional_diff(e, e.where("event_type <> 'click'"), ["ts", "event_id"], ["event_id"], "event_type", ["user_id"])
+    return joins.diff_summary(diff, ["user_id"]).withColumn("first", F.col("first").cast("long"))
+
+
+def _turn_pairs(t: Tables) -> DataFrame:
+    """Each turn beside the turn before."""
+    c = t.conversations
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("ref"))
+    return c.select("conv_id", "turn", "role", F.col("text").alias("pred")).join(before, ["conv_id", "turn"])
+
+
+_PAIRS = "c AS (SELECT b.conv_id, b.turn, b.role, coalesce(b.text, '') AS pred, coalesce(a.text, '') AS ref FROM conversations b JOIN conversations a ON a.conv_id = b.conv_id AND a.turn = b.turn - 1)"
+
+
+@query(f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, regexp_extract_all(lower(pred), '[a-z0-9]+') AS p, regexp_extract_all(lower(ref), '[a-z0-9]+') AS r FROM c),
+u AS (SELECT conv_id, turn, unnest(p) AS g, 1 AS x, 0 AS y FROM w UNION ALL SELECT conv_id, turn, unnest(r), 0, 1 FROM w), h AS (SELECT conv_id, turn, g, least(sum(x), sum(y)) AS m FROM u GROUP BY ALL), s AS (SELECT conv_id, turn, sum(m) AS m FROM h GROUP BY ALL)
+SELECT conv_id, turn, round(CASE WHEN coalesce(m, 0) = 0 THEN 0 ELSE 2 * m / (len(p) + len(r)) END, 6) AS rouge1 FROM w LEFT JOIN s USING (conv_id, turn)""")
+def rouge_unstemmed(spark, sf_dir):
+    return _turn_pairs(Tables(spark, sf_dir)).select("conv_id", "turn", _r(textscore.rouge("pred", "ref", stemmed=False)["rouge1"]).alias("rouge1"))
+
+
+@query()
+def rouge_by_role(spark, sf_dir):
+    scored = _turn_pairs(Tables(spark, sf_dir)).select("role", textscore.rouge("pred", "ref").alias("r"))
+    return scored.groupBy("role").agg(_r(F.avg("r.rouge1")).alias("rouge1"), _r(F.avg("r.rouge_l")).alias("rouge_l"), F.count("*").alias("n"))
+
+
+def _tokens_sql(c: str) -> str:
+    t = f"rtrim({c})"
+    for old, new in (("'<skipped>'", "''"), ("'-' || chr(10)", "''"), ("chr(10)", "' '"), ("'&quot;'", "'\"'"), ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'")):
+        t = f"replace({t}, {old}, {new})"
+    t = f"' ' || {t} || ' '"
+    for pattern, new in ((r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        t = f"regexp_replace({t}, '{pattern}', '{new}', 'g')"
+    return f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda x: x <> '')"
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT conv_id, turn, role, {n} AS n, {k} AS side, unnest(list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i : i + {n - 1}], chr(1)))) AS g FROM w" for n in range(1, 5) for k, c in ((0, "p"), (1, "r")))
+
+
+@query(f"""WITH {_PAIRS}, w AS MATERIALIZED (SELECT conv_id, turn, role, {_tokens_sql("pred")} AS p, {_tokens_sql("ref")} AS r FROM c), g AS ({_GRAMS}),
+m AS (SELECT conv_id, turn, role, n, g, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS m, count(*) FILTER (side = 0) AS t FROM g GROUP BY ALL),
+s AS (SELECT role, n, sum(m) AS m, sum(t) AS t FROM m GROUP BY ALL), z AS (SELECT role, n, m, t, sum((m = 0)::INT) OVER (PARTITION BY role ORDER BY n) AS z FROM s),
+b AS (SELECT role, exp(avg(ln(CASE WHEN m = 0 THEN 100 / (pow(2, z) * t) ELSE 100 * m / t END))) AS b, count(*) FILTER (t > 0) AS k, max(m) AS best FROM z GROUP BY role), l AS (SELECT role, sum(len(p)) AS p, sum(len(r)) AS r FROM w GROUP BY role)
+SELECT role, round(CASE WHEN k < 4 OR best = 0 THEN 0 ELSE b * CASE WHEN p < r THEN exp(1 - r / p) ELSE 1 END END, 6) AS bleu FROM b JOIN l USING (role)""")
+def corpus_bleu_by_role(spark, sf_dir):
+    counted = _turn_pairs(Tables(spark, sf_dir)).select("role", textscore.bleu_counts("pred", "ref").alias("c"))
+    return counted.groupBy("role").agg(_r(textscore.corpus_bleu("c")).alias("bleu"))
+
+
+@query(f"""WITH {_PAIRS}, w AS MATERIALIZED (SELECT conv_id, turn, role, {_tokens_sql("pred")} AS p, {_tokens_sql("ref")} AS r FROM c), g AS ({_GRAMS}),
+m AS (SELECT conv_id, turn, n, g, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS m, count(*) FILTER (side = 0) AS t FROM g GROUP BY ALL),
+s AS (SELECT conv_id, turn, n, sum(m) AS m, sum(t) AS t FROM m GROUP BY ALL HAVING sum(t) > 0), z AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY conv_id, turn ORDER BY n) AS z FROM s),
+b AS (SELECT conv_id, turn, exp(avg(ln(CASE WHEN m = 0 THEN 100 / (pow(2, z) * t) ELSE 100 * m / t END))) AS b, max(m) AS best FROM z GROUP BY ALL)
+SELECT conv_id, turn, round(CASE WHEN coalesce(best, 0) = 0 THEN 0 ELSE b * CASE WHEN len(p) < len(r) THEN exp(1 - len(r) / len(p)) ELSE 1 END END, 6) AS bleu FROM w LEFT JOIN b USING (conv_id, turn)""")
+def sentence_bleu(spark, sf_dir):
+    return _turn_pairs(Tables(spark, sf_dir)).select("conv_id", "turn", _r(textscore.sentence_bleu("pred", "ref")).alias("bleu"))
+
+
+@query()
+def aligned_f1(spark, sf_dir):
+    return _event_lists(Tables(spark, sf_dir)).select("user_id", _r(textscore.aligned_f1("a", "b")).alias("f1"), _r(textscore.aligned_f1("a", "b", compat=True)).alias("f1_compat"))
+
+
+@query("""SELECT a.vec_id, round(CASE WHEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0 THEN list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ELSE 0 END, 6) AS f1
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def greedy_cosine(spark, sf_dir):
+    e = Tables(spark, sf_dir).embeddings
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.array("embedding").alias("b"))
+    return e.select("vec_id", F.array("embedding").alias("a")).join(nxt, "vec_id").select("vec_id", _r(textscore.greedy_cosine("a", "b")["f1"]).alias("f1"))
+
+
+_SECS = "(minute(ts) * 60 + second(ts))"
+
+
+@query(f"""SELECT event_id, round(0.2 + 1 - least(1.0, abs({_SECS} - (event_id % 3600)) / 60), 6) AS reward FROM events""")
+def task_rewards(spark, sf_dir):
+    e = Tables(spark, sf_dir).events
+    secs = F.minute("ts") * 60 + F.second("ts")
+    stamp = lambda s: F.concat(F.lit('{"timestamp": "'), clock.to_mmss(s), F.lit('"}'))
+    reply = F.concat(F.lit("<think>seen</think><answer>"), stamp(secs), F.lit("</answer>"))
+    return e.select("event_id", _r(rewards.task_reward(reply, stamp(F.col("event_id") % 3600), F.lit("task-4"))).alias("reward"))
+
+
+@query("""SELECT doc_id, round(greatest(0, CASE WHEN quality = 1 THEN 0.8 ELSE 1 END * CASE WHEN toxic = 1 THEN least(50.0, x) ELSE x END * greatest(0, 1 - 0.1 * (doc_id % 4))), 6) AS score
+FROM (SELECT doc_id, quality, toxic, 0.25 * (doc_id % 101 + doc_id % 97 + doc_id % 89 + doc_id % 83) AS x FROM labels)""")
+def judged_quality(spark, sf_dir):
+    d = F.col("doc_id")
+    score = lambda m, name="score": F.struct((d % m).alias(name))
+    judge = F.struct(
+        score(101, "overall_score").alias("structural_completeness"), score(97).alias("symptom_coverage"), score(89).alias("key_localizing_features"), score(83).alias("temporal_fidelity"),
+        F.struct((d % 4).alias("hallucination_count"), (F.col("toxic") == 1).alias("has_safety_issues"), (F.col("quality") == 1).alias("includes_non_seizure")).alias("penalties"),
+    )
+    reply = F.concat(F.lit("```json\n"), F.to_json(judge), F.lit("\n```"))
+    return Tables(spark, sf_dir).labels.select("doc_id", _r(scoring.judged_quality(reply)).alias("score"))
+
+
+@query("""WITH x AS (SELECT doc_id, CASE WHEN quality = 1 THEN 100.0 ELSE 0 END AS s, CASE WHEN lang = 'en' THEN 100.0 ELSE 0 END AS l, n_chars, toxic = 1 AS t, doc_id % 3 = 0 AS o FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT doc_id, (s + 50 + 50 + l) / 4 - 1 AS b, floor(n_chars / 50) AS over, t, o FROM x), y AS (SELECT doc_id, CASE WHEN o THEN 0.8 * b ELSE b END - over AS y, t FROM b)
+SELECT doc_id, round(greatest(0, least(100, CASE WHEN t THEN least(50, y) ELSE y END)), 6) AS score FROM y""")
+def report_quality(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    j = t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id")
+    listed = lambda *x: F.array(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    score = scoring.report_quality(
+        listed("1"), listed(F.col("quality").cast("string")), listed("a", "b"), listed("a", "c"), listed("en"), listed(F.col("lang")), F.col("n_chars"), F.col("toxic") == 1, F.col("doc_id") % 3 == 0,
+    )
+    return j.select("doc_id", _r(score).alias("score"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fail' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS answer, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'doc ' || doc_id END AS justification,
+ CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '{"answer": "' || CASE WHEN quality = 1 THEN 'Yes' ELSE 'no' END || '", "justification": "doc ' || doc_id || '"}' END AS object FROM labels""")
+def reply_repair(spark, sf_dir):
+    said = F.concat(F.lit('So: {"answer": "'), F.when(F.col("quality") == 1, "Yes").otherwise("no"), F.lit('", "justification": "doc '), F.col("doc_id").cast("string"), F.lit('"} Done'))
+    d = Tables(spark, sf_dir).labels.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "I do not know").otherwise(said).alias("c"))
+    return d.select("doc_id", jsonx.reply("c").alias("r"), jsonx.balanced_object("c").alias("object")).select("doc_id", "r.answer", "r.justification", "object")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END AS name, CASE WHEN n_regionkey <> 3 THEN r_name END AS region FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def template_align(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("key", F.col("n_nationkey"))
+    first = n.select("key", F.when(F.col("key") % 2 == 0, F.col("n_name")).alias("name"))
+    second = n.select("key", F.col("r_name").alias("name"), F.when(F.col("n_regionkey") != 3, F.col("r_name")).alias("region"))
+    return templates.align(t.nation.select(F.col("n_nationkey").alias("key")), "key", [first, second], ["name", "region"])
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key FROM nation WHERE n_regionkey = 3")
+def template_empty_rows(spark, sf_dir):
+    n = Tables(spark, sf_dir).nation
+    given = n.select(F.col("n_nationkey").alias("key"), F.when(F.col("n_regionkey") != 3, F.col("n_name")).alias("name"))
+    return templates.empty_rows(templates.align(given, "key", [given], ["name", "other"]), "key", ["name", "other"])
+
+
+@query("SELECT 'other' AS name")
+def template_empty_columns(spark, sf_dir):
+    n = Tables(spark, sf_dir).nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    return templates.empty_columns(templates.align(n, "key", [n], ["name", "other"]), ["name", "other"])
+
+
+@query("""SELECT p_partkey, list_transform(range(0, 8), lambda i: CAST(floor(i * (p_size - 1) / 7) AS INTEGER)) AS frames FROM part""")
+def even_indices(spark, sf_dir):
+    return Tables(spark, sf_dir).part.select("p_partkey", numeric.even_indices(F.col("p_size").cast("int"), 8).alias("frames"))
+
+
+@query("""SELECT user_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE m / (len(a) + len(b) - m) END, 6) AS share FROM (SELECT user_id, a, b, list_sum(list_transform(list_distinct(a), lambda v: least(len(list_filter(a, lambda w: w = v)), len(list_filter(b, lambda w: w = v))))) AS m
+ FROM (SELECT x.user_id, x.a, y.a AS b FROM (SELECT user_id, list(event_type ORDER BY ts, event_id)[1:10] AS a FROM events GROUP BY user_id) x JOIN (SELECT user_id, list(event_type ORDER BY ts, event_id)[1:10] AS a FROM events GROUP BY user_id) y ON y.user_id = x.user_id + 1))""")
+def bag_overlap(spark, sf_dir):
+    return _event_lists(Tables(spark, sf_dir)).select("user_id", _r(arrays.common_share("a", "b")).alias("share"))
+
+
+@query("SELECT doc_id, list_filter(['the', 'quick_brown', 'tion', 'and'], lambda w: contains(lower(text), w) OR contains(lower(text), replace(w, '_', ' '))) AS found FROM documents WHERE text IS NOT NULL")
+def keyword_list(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents.where("text IS NOT NULL")
+    return d.select("doc_id", text.keywords("text", ["the", "quick_brown", "tion", "and"]).alias("found"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' ELSE 'unknown' END AS choice, 'Segment of ' || c_name || ': {' || c_mktsegment || '}' AS prompt FROM customer")
+def choice_and_prompt(spark, sf_dir):
+    c = Tables(spark, sf_dir).customer
+    raw = F.concat(F.lit("choice: "), F.col("c_mktsegment"))
+    return c.select("c_custkey", text.answer_choice(raw, ["Building"]).alias("choice"), text.filled("Segment of {n}: {{{s}}}", n="c_name", s="c_mktsegment").alias("prompt"))

@@ -23,7 +23,7 @@ def test_query(spark, name):
     assert rows or name in catalog.ORACLE_SQL
     if name in catalog.ORACLE_SQL:
         db = duckdb.connect()
-        for t in "region nation customer supplier part orders lineitem events documents labels conversations".split():
+        for t in "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split():
             db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = db.sql(catalog.ORACLE_SQL[name])
         assert sorted(want.columns) == columns
