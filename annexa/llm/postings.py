@@ -94,12 +94,12 @@ def distinct(h: np.ndarray, row: np.ndarray, once_a_row: bool):
 
 
 def document_row(batch: int, key: int, ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, stream: np.ndarray, pos: np.ndarray) -> tuple:
-    """The batch's rows and their entries: a new number is one bit, a known one is spelled out."""
+    """The batch's rows and their entries: a new number is one bit, a known one its step from the known one before (1 throughout a copied passage)."""
     seen = np.maximum.accumulate(np.concatenate([[-1], stream]))
     fresh = stream > seen[:-1]
     head = np.array([len(stream), int((~fresh).sum())], np.int64).tobytes()
-    body = head + np.packbits(fresh).tobytes() + stream[~fresh].astype(np.uint32).tobytes() + np.diff(pos, prepend=0).astype(np.int32).tobytes()
-    return key, batch, 1, ids.tobytes() + hashes.tobytes(), counts.astype(np.int32).tobytes(), zstandard.ZstdCompressor(level=1).compress(body)
+    body = head + np.packbits(fresh).tobytes() + np.diff(stream[~fresh], prepend=0).astype(np.int32).tobytes() + np.diff(pos, prepend=0).astype(np.int32).tobytes()
+    return key, batch, 1, ids.tobytes() + hashes.tobytes(), counts.astype(np.int32).tobytes(), zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def read_document_row(a: bytes, b: bytes, c: bytes):
@@ -110,7 +110,7 @@ def read_document_row(a: bytes, b: bytes, c: bytes):
     at = 16 + (n + 7) // 8
     fresh = np.unpackbits(np.frombuffer(body, np.uint8, (n + 7) // 8, 16), count=n).astype(bool)
     stream = np.cumsum(fresh) - 1
-    stream[~fresh] = np.frombuffer(body, np.uint32, old, at)
+    stream[~fresh] = np.cumsum(np.frombuffer(body, np.int32, old, at), dtype=np.int64)
     pos = np.cumsum(np.frombuffer(body, np.int32, n, at + 4 * old), dtype=np.int64)
     return both[: len(counts)], both[len(counts) :], counts, stream, fresh, pos
 
