@@ -11,7 +11,10 @@ in that order until the source's remaining words are used up. So reruns agree.
 
 Scale: one pass over the texts counts words; everything after works on one
 narrow row per document. Ranks are cut by a histogram of fine buckets, so no
-task or sort ever sees a whole source, and c comes from a histogram of sizes.
+task or sort ever sees a whole source. Targets are set over one row per source;
+c is solved source by source from classes of size, 64 an octave, whatever the
+rows. Classes make c inexact by far less than a percent, which moves chances
+and not the words taken: the cut through the ranks is at the exact target.
 
 Cases: null text has size 0; a document of size 0 is never taken; a null
 source is one source, last in order; repeated rows are told apart by their
@@ -32,19 +35,21 @@ from .common import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _BUCKETS = 1 << 12
+_OCTAVE = 64
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text) and u, uniform in (0, 1) by a hash of the row."""
+    """doc_id, source, th (text hash), size (words of the whole text) and u, uniform in (0, 1) by a hash of the row."""
 
     def count(rows):
         for rb in rows:
             data, offsets = words.buffers(rb.column("text"))
             n = words.spans(data, offsets)[2] if rb.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("source"), rb.column("th"), pa.array(n, pa.int64())], ["doc_id", "source", "th", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    sized = rows.mapInArrow(count, "doc_id long, source string, size long")
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sized = rows.mapInArrow(count, "doc_id long, source string, th long, size long")
     return sized.withColumn("u", (F.pmod(F.xxhash64(F.lit(17), "doc_id", "source", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52))
 
 
@@ -63,9 +68,9 @@ def targets(total: np.ndarray, weight: np.ndarray, max_ratio: float) -> np.ndarr
     return goal
 
 
-def _solve(size: np.ndarray, n: np.ndarray, goal: float, max_ratio: float, tilt: float) -> float:
-    """c with sum of n * size * min(max_ratio, c * size ** tilt) = goal."""
-    g, words_of = size.astype(float) ** tilt, size * n.astype(float)
+def _solve(size: np.ndarray, words_of: np.ndarray, goal: float, max_ratio: float, tilt: float) -> float:
+    """c with sum of words * min(max_ratio, c * size ** tilt) = goal."""
+    g = size**tilt
     lo, hi = 0.0, max_ratio / g.min() * (1 + 1e-9)
     for _ in range(200):
         mid = (lo + hi) / 2
@@ -77,26 +82,28 @@ def _solve(size: np.ndarray, n: np.ndarray, goal: float, max_ratio: float, tilt:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_ratio: float = 3.0, tilt: float = 0.25) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes the document), taken."""
+    """doc_id, th (text hash), source, size, source_size, target, copies (how often the mix takes the document), taken."""
     sized = cut(word_counts(docs))
 
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = pdf.assign(key=pdf["source"].fillna(""), missing=pdf["source"].isna(), words=pdf["size"] * pdf["n"].astype(float))
-        by["code"] = [x.encode() for x in by["key"]]
-        per = by.groupby(["missing", "code"], sort=True)["words"].sum().reset_index()
-        weight = np.array([weights[i % len(weights)] for i in range(len(per))])
-        per["target"] = targets(per["words"].to_numpy(), weight, max_ratio)
-        out = []
-        for missing, code, total, goal in per[["missing", "code", "words", "target"]].itertuples(index=False):
-            own = by[(by["missing"] == missing) & (by["code"] == code)]
-            own = own[own["size"] > 0]
-            c = _solve(own["size"].to_numpy(), own["n"].to_numpy(), goal, max_ratio, tilt) if len(own) and goal > 0 else 0.0
-            out.append((None if missing else code.decode(), int(total), float(goal), c))
-        return pd.DataFrame(out, columns=["source", "source_size", "target", "c"])
-
-    # The histogram has a row per source and size: it grows with the vocabulary of sources, not with the rows.
-    histogram = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
-    planned = cut(histogram.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(plan, "source string, source_size long, target double, c double"))
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = pdf["source"].map(lambda x: (x is None, (x or "").encode()))
+        pdf = pdf.loc[code.sort_values().index]
+        weight = np.array([weights[i % len(weights)] for i in range(len(pdf))])
+        return pdf[["source", "source_size"]].assign(target=targets(pdf["source_size"].to_numpy(float), weight, max_ratio))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, goal = pdf[pdf["words"] > 0], float(pdf["target"].iloc[0])
+        words_of = own["words"].to_numpy(float)
+        c = _solve(words_of / own["n"].to_numpy(float), words_of, goal, max_ratio, tilt) if len(own) and goal > 0 else 0.0
+        return pdf[["source", "source_size", "target"]].head(1).assign(c=c)
+
+    octave = F.when(F.col("size") > 0, F.floor(F.log2("size") * _OCTAVE)).otherwise(-1)
+    classes = cut(sized.groupBy("source", octave.alias("octave")).agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    totals = classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.lit(1).alias("one"))
+    goals = totals.groupBy("one").applyInPandas(share, "source string, source_size long, target double")
+    goals = cut(goals).withColumnRenamed("source", "s")
+    per_class = classes.join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s", "octave")
+    planned = cut(per_class.groupBy("source").applyInPandas(solve, "source string, source_size long, target double, c double"))
     known = planned.withColumnRenamed("source", "s")
     small = planned.count() <= 100_000  # rows of some 50 bytes; beyond that an ordinary join
     known = F.broadcast(known) if small else known
@@ -125,4 +132,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_ratio
     taken = F.when(F.col("upto") - F.col("size") / 2 <= F.col("need"), 1).otherwise(0)
     outside = rows.where("state IS NULL OR state <> 0").withColumn("extra", F.when(F.col("state") == 1, 1).otherwise(0))
     both = inside.withColumn("extra", taken).select(*outside.columns).unionByName(outside)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return both.select("doc_id", "th", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
