@@ -19,6 +19,12 @@ from annexa.llm.common import ensure_checkpoint_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if its chance of being good reaches this.
 MIN_QUALITY = 0.3
+NO_ID = substring_dedup.NO_ID
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with d and t, by which operators' rows find their document, a missing doc_id included."""
+    return docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +42,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages of 20 words or more; a text that loses none stays as it is."""
-    kept = substring_dedup.substring_dedup(docs).select(F.coalesce("doc_id", F.lit(substring_dedup.NO_ID)).alias("d"), F.col("th").alias("t"), "kept_text").where("n_removed > 0").dropDuplicates(["d", "t"])
-    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(substring_dedup.NO_ID)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    kept = substring_dedup.substring_dedup(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("th").alias("t"), "kept_text").where("n_removed > 0").dropDuplicates(["d", "t"])
     text = F.coalesce("kept_text", "text")
-    return keyed.join(kept, ["d", "t"], "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return _keyed(docs).join(kept, ["d", "t"], "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    plan = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id"), "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(plan, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(COLUMNS)
+    """Each document as often as the mixture takes it; equal rows go by the one taken most often."""
+    plan = mixing.mix_sources(docs).where("copies > 0").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("th").alias("t")).agg(F.max("copies").alias("copies"))
+    return _keyed(docs).join(plan, ["d", "t"]).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
