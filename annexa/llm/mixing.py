@@ -118,12 +118,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_ratio
     per = rows.where("bucket IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("w"))
     run = per.withColumn("before", F.sum("w").over(Window.partitionBy("source").orderBy("bucket")) - F.col("w"))
     s, b = F.col("source"), F.col("bucket")
-    cut_at = run.select(s.alias("s"), b.alias("b"), "w", "before").join(need.select(s.alias("s2"), "need"), F.col("s").eqNullSafe(F.col("s2"))).select("s", "b", "before", "w", "need")
-    cut_at = cut(cut_at)
-    state = F.when(F.col("before") + F.col("w") <= F.col("need"), 1).when(F.col("before") >= F.col("need"), -1).otherwise(0)
-    edge = cut_at.withColumn("state", state)
-    edge = F.broadcast(edge) if small and planned.count() * _BUCKETS <= 500_000 else edge
-    rows = rows.join(edge, s.eqNullSafe(F.col("s")) & (b == F.col("b")), "left").drop("s", "b", "w")
+    cut_at = run.select(s.alias("s"), b.alias("b"), "w", "before").join(need.select(s.alias("s2"), "need"), F.col("s").eqNullSafe(F.col("s2"))).where("before + w > need")
+    # a row per source: the bucket that the cut runs through; those below are taken whole, and all where there is none
+    edge = cut(cut_at.groupBy("s").agg(F.min_by(F.struct("b", "before", "need"), "b").alias("e")).select("s", "e.*"))
+    edge = F.broadcast(edge) if small else edge
+    state = F.when(F.col("b").isNull() | (F.col("bucket") < F.col("b")), 1).when(F.col("bucket") > F.col("b"), -1).otherwise(0)
+    rows = rows.join(edge, s.eqNullSafe(F.col("s")), "left").withColumn("state", F.when(b.isNotNull(), state)).drop("s", "b")
     # Only buckets that the cut runs through are ranked; each has about one of _BUCKETS of its source.
     inside = rows.where("state = 0")
     w = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
