@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, clock, jsonx, numeric, text, textscore
-from ..operators import joins, metrics, records, rewards, rollup, scoring, splits, templates
+from ..functions import arrays, clock, jsonx, numeric, service, text, textscore
+from ..operators import columns, joins, metrics, records, rewards, rollup, scoring, splits, templates
+from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -518,3 +519,33 @@ def choice_and_prompt(spark, sf_dir):
     c = Tables(spark, sf_dir).customer
     raw = F.concat(F.lit("choice: "), F.col("c_mktsegment"))
     return c.select("c_custkey", text.answer_choice(raw, ["Building"]).alias("choice"), text.filled("Segment of {n}: {{{s}}}", n="c_name", s="c_mktsegment").alias("prompt"))
+
+
+@query("""
+SELECT lang AS model, coalesce(printf('%.2f', nullif(count(*) FILTER (source = 'src1'), 0)::DOUBLE), '') AS src1_docs, coalesce(printf('%.2f', (sum(n_chars) FILTER (source = 'src1') / 4)::DOUBLE), '') AS src1_chars,
+ '' AS none_docs, '' AS none_chars FROM documents GROUP BY lang""")
+def wide_metrics(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    by = d.groupBy(F.col("lang").alias("model"), F.col("source").alias("feature")).agg(F.count("*").cast("double").alias("docs"), (F.sum("n_chars") / 4).alias("chars"))
+    facts = by.unpivot(["model", "feature"], ["docs", "chars"], "metric", "value")
+    return sinks.wide_metrics(facts, "model", "feature", "metric", "value", ["src1", "none"], ["docs", "chars"])
+
+
+@query("""SELECT coalesce(d.source, a.source) AS source, coalesce(d.n, a.n) AS n, CASE WHEN d.source IS NULL THEN a.m END AS m
+ FROM (SELECT source, count(*) AS n, max(n_chars) AS m FROM documents GROUP BY source) a LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' AND doc_id < 40 GROUP BY source) d ON d.source = a.source""")
+def merge_first(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    done = d.where("lang = 'en' AND doc_id < 40").groupBy("source").agg(F.count("*").alias("n"))
+    return sinks.merge_first(done, d.groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("m")), "source").select("source", "n", "m")
+
+
+@query("""SELECT doc_id, 'lang' AS feature, lang AS answer, source AS note FROM documents UNION ALL SELECT doc_id, 'size', CAST(n_chars AS VARCHAR), lang FROM documents""")
+def unpivot_pairs(spark, sf_dir):
+    wide = Tables(spark, sf_dir).documents.select("doc_id", "lang", F.col("source").alias("justification_for_lang"), F.col("n_chars").alias("answer_for_size"), F.col("lang").alias("justification_for_size"), F.lit("").alias("justification_for_nothing"))
+    return columns.unpivot_pairs(wide, ["doc_id"])
+
+
+@query("""SELECT conv_id, coalesce(string_agg(t, ' || ' ORDER BY turn, t) FILTER (t <> ''), '') AS text FROM (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations) GROUP BY conv_id""")
+def merge_texts(spark, sf_dir):
+    rows = Tables(spark, sf_dir).conversations.select("conv_id", "turn", "text")
+    return service.merge_texts(rows, "conv_id", "turn", "text", lambda parts: F.concat(F.lit("Merge:\n"), F.array_join(parts, "\n")))
