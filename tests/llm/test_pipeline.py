@@ -5,10 +5,11 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from annexa.llm import quality, queries
+from annexa.llm import mixing, quality, queries
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -64,6 +65,24 @@ def test_stages(spark, tmp_path):
     assert sum(r["piece"] == 0 for r in seen["packing"][1]) == len(taken)
 
 
+def test_stages_without_id_or_rows(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None if i % 7 == 0 else i, f"{'one two three ' * (1 + i % 5)}number {i}", "en", f"s{i % 3}", 1) for i in range(60)] + [(None, None, None, None, None), (7, "", "en", None, 0)]
+    given = spark.createDataFrame(rows, kinds)
+    copies = {}
+    for r in mixing.mix_sources(given).collect():
+        copies[r["doc_id"], r["th"]] = max(r["copies"], copies.get((r["doc_id"], r["th"]), 0))
+    taken = corpus_pipeline.mix(spark, given, SF).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()
+    assert sorted(taken, key=str) == sorted((k for k, n in copies.items() for _ in range(n)), key=str)
+    assert any(r["doc_id"] is None for r in taken)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, given.limit(0), SF).count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, given, SF).write.parquet(f"{tmp_path}/{name}")
+        given = spark.read.parquet(f"{tmp_path}/{name}")
+    assert given.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
