@@ -40,11 +40,16 @@ def cut(df: DataFrame, big: bool = False) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of shuffles that no DataFrame needs any more; Python's references reach the JVM with a delay."""
-    gc.collect()
-    time.sleep(1.2)
-    spark._jvm.System.gc()
-    time.sleep(0.5)
+    """Lets go of shuffles that no DataFrame needs any more.
+
+    Python's references reach the JVM with a delay, and Spark's listeners hold
+    a query a moment longer: collected once, garbage may still be held, so thrice.
+    """
+    for _ in range(3):
+        gc.collect()
+        time.sleep(0.7)
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
