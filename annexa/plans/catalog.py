@@ -241,9 +241,11 @@ def bigram_freq(spark, sf_dir):
     return g.groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n")).where("n >= 5")
 
 
-def _event_lists(t: Tables) -> DataFrame:
+def _event_lists(t: Tables, most: int | None = None) -> DataFrame:
+    """Each user's event types in order, whole unless ``most`` is given, beside the next user's."""
     e = t.events.select("user_id", F.struct("ts", "event_id", "event_type").alias("e"))
-    own = e.groupBy("user_id").agg(F.transform(F.slice(F.array_sort(F.collect_list("e")), 1, 10), lambda x: x["event_type"]).alias("a"))
+    whole = F.array_sort(F.collect_list("e"))
+    own = e.groupBy("user_id").agg(F.transform(F.slice(whole, 1, most) if most else whole, lambda x: x["event_type"]).alias("a"))
     other = own.select((F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b"))
     return own.join(other, "user_id")
 
@@ -254,6 +256,16 @@ s AS (SELECT user_id, string_agg(l, '' ORDER BY n) AS a FROM e JOIN c USING (eve
 
 @query(_LISTS + " SELECT x.user_id, levenshtein(x.a, y.a) AS distance FROM s x JOIN s y ON y.user_id = x.user_id + 1")
 def edit_distance(spark, sf_dir):
+    """The first 10 events only, as its SQL has it; edit_distance_whole has no limit."""
+    return _event_lists(Tables(spark, sf_dir), 10).select("user_id", arrays.edit_distance("a", "b").cast("long").alias("distance"))
+
+
+_WHOLE_LISTS = """WITH c AS (SELECT event_type, chr(96 + CAST(row_number() OVER (ORDER BY event_type) AS INT)) AS l FROM (SELECT DISTINCT event_type FROM events)),
+s AS (SELECT user_id, string_agg(l, '' ORDER BY ts, event_id) AS a FROM events JOIN c USING (event_type) GROUP BY user_id)"""
+
+
+@query(_WHOLE_LISTS + " SELECT x.user_id, levenshtein(x.a, y.a) AS distance FROM s x JOIN s y ON y.user_id = x.user_id + 1")
+def edit_distance_whole(spark, sf_dir):
     return _event_lists(Tables(spark, sf_dir)).select("user_id", arrays.edit_distance("a", "b").cast("long").alias("distance"))
 
 
@@ -505,6 +517,14 @@ def even_indices(spark, sf_dir):
 @query("""SELECT user_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE m / (len(a) + len(b) - m) END, 6) AS share FROM (SELECT user_id, a, b, list_sum(list_transform(list_distinct(a), lambda v: least(len(list_filter(a, lambda w: w = v)), len(list_filter(b, lambda w: w = v))))) AS m
  FROM (SELECT x.user_id, x.a, y.a AS b FROM (SELECT user_id, list(event_type ORDER BY ts, event_id)[1:10] AS a FROM events GROUP BY user_id) x JOIN (SELECT user_id, list(event_type ORDER BY ts, event_id)[1:10] AS a FROM events GROUP BY user_id) y ON y.user_id = x.user_id + 1))""")
 def bag_overlap(spark, sf_dir):
+    """The first 10 events only, as its SQL has it; bag_overlap_whole has no limit."""
+    return _event_lists(Tables(spark, sf_dir), 10).select("user_id", _r(arrays.common_share("a", "b")).alias("share"))
+
+
+@query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n) AS n FROM n GROUP BY user_id),
+m AS (SELECT x.user_id, sum(least(x.n, y.n)) AS m FROM n x JOIN n y ON y.user_id = x.user_id + 1 AND y.event_type = x.event_type GROUP BY 1)
+SELECT x.user_id, round(coalesce(m, 0) / (x.n + y.n - coalesce(m, 0)), 6) AS share FROM t x JOIN t y ON y.user_id = x.user_id + 1 LEFT JOIN m ON m.user_id = x.user_id""")
+def bag_overlap_whole(spark, sf_dir):
     return _event_lists(Tables(spark, sf_dir)).select("user_id", _r(arrays.common_share("a", "b")).alias("share"))
 
 
