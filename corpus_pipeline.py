@@ -35,7 +35,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies, and every document without a doc_id."""
-    linked = jaccard_join.ngram_jaccard_join(docs, n=3, percent=90)
+    linked = jaccard_join.ngram_jaccard_join(docs, n=5, percent=80)
     gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
