@@ -16,8 +16,12 @@
 4. A page is cut at its template's tokens, in order, and the text of its main
    slots is returned by blocks.
 
-Hosts with fewer than ``min_pages`` pages use the template of all pages. The
-templates are broadcast only if their measured size is small, else joined.
+A host's pages fall into layouts by the article and main elements they hold.
+Each layout of ``min_pages`` pages has a template of its own; pages of rarer
+layouts use the template of the whole host, those of hosts with fewer than
+``min_pages`` pages the template of all pages. A page that meets none of its
+template's main slots is judged by step 3 on its own text alone. The templates
+are broadcast only if their measured size is small, else joined.
 
 Cases: null or empty html, or none that is main text, gives an empty text; a
 null or odd url has host ""; unclosed elements, comments and entities at the
@@ -86,6 +90,23 @@ def events(page: str):
         yield "", stack[-1][1], "", page[at:]
 
 
+def _holds_main(path: str) -> bool:
+    return any(s.partition("[")[0] in ("article", "main") for s in path.split("/"))
+
+
+def _layout_step(path: str, before: str, tag: str) -> str:
+    """The step of an article or main element that opens outside of others and of marginal parts, else ""."""
+    return path.rpartition("/")[2] if tag in ("article", "main") and path != before and not _holds_main(before) and not _aside(path) else ""
+
+
+def layout_of(page: str) -> str:
+    steps, before = set(), ""
+    for _, path, tag, _ in events(page):
+        steps.add(_layout_step(path, before, tag))
+        before = path
+    return " ".join(sorted(steps - {""}))
+
+
 def _aside(path: str) -> bool:
     for step in path.split("/"):
         tag, _, names = step.partition("[")
@@ -100,7 +121,10 @@ def _mix(x: int) -> int:
 
 
 def observe(pages: DataFrame) -> DataFrame:
-    """host, kind (0 token, 1 path, 2 pages), key, pages, total, signature, place, chars, linked: sums over pages."""
+    """host, kind (0 token, 1 path, 2 pages), key, pages, total, signature, place, chars, linked: sums over pages.
+
+    Rows of a host's layout have it behind the host, after a line break.
+    """
 
     def run(rows):
         seed = 0
@@ -121,13 +145,14 @@ def observe(pages: DataFrame) -> DataFrame:
                 weight = _mix(_mix((page_id or 0) & 0xFFFFFFFFFFFFFFFF) + len(page or ""))
                 tokens: dict[str, list] = {}
                 paths: dict[str, list] = {}
-                n, link, before = 0, 0, ""
+                n, link, before, steps = 0, 0, "", set()
                 for token, path, tag, text in events(page or ""):
                     size = len(text.strip())
                     if size:
                         p = paths.setdefault(before, [0, 0])
                         p[0] += size
                         p[1] += size if link else 0
+                    steps.add(_layout_step(path, before, tag))
                     before = path
                     if tag == "a":
                         link = 1
@@ -137,7 +162,8 @@ def observe(pages: DataFrame) -> DataFrame:
                         t = tokens.setdefault(token, [0, n])
                         t[0] += 1
                         n += 1
-                for host in (host_of(url), "*"):
+                own = host_of(url)
+                for host in (own, "*", f"{own}\n{' '.join(sorted(steps - {''}))}"):
                     add(host, 2, "", 1, 1, weight, 0.0, 0, 0)
                     for k, (c, first) in tokens.items():
                         add(host, 0, k, 1, c, c * weight, first / n, 0, 0)
@@ -162,6 +188,32 @@ def _structural(key: str) -> bool:
     return key.rpartition(">")[2].partition("[")[0].lstrip("/") in STRUCTURE
 
 
+def _above(path: str):
+    """The paths of all ancestors."""
+    return (path[:i] for i, x in enumerate(path) if x == "/")
+
+
+def _main_paths(slots: set[str], text: dict[str, tuple[int, int]]) -> set[str]:
+    """Those of ``slots`` that are main text, given the characters and linked characters at each path."""
+    found = {p for p in slots if _holds_main(p) and not _aside(p)}
+    if found:
+        return found
+    # no article element: the paths with the most text, few links and no marginal part
+    own, linked = dict.fromkeys(slots, 0), dict.fromkeys(slots, 0)
+    for q, (c, x) in text.items():
+        for p in {q, *_above(q)} & slots:
+            own[p] += c
+            linked[p] += x
+    good = {p for p in slots if not _aside(p) and own[p] > 0 and linked[p] < 0.5 * own[p]}
+    below: dict[str, int] = {}
+    for q in good:
+        for p in set(_above(q)) - {q}:
+            below[p] = max(below.get(p, 0), own[q])
+    deepest = {p for p in good if below.get(p, 0) < 0.6 * own[p]}
+    most = max((own[p] for p in deepest), default=0)
+    return {p for p in deepest if own[p] >= 0.25 * most}
+
+
 def deduce(stats: pd.DataFrame) -> dict:
     """One host's template: its tokens in order and, for the slot after each, whether it is main text."""
     pages = int(stats.loc[stats["kind"] == 2, "pages"].max())
@@ -186,20 +238,13 @@ def deduce(stats: pd.DataFrame) -> dict:
         after.append(path.rpartition("/")[0] if tag.startswith("/") else f"{path}/{tag}")
     paths = stats[stats["kind"] == 1]
     text = {p: (c, linked) for p, c, linked in zip(paths["key"], paths["chars"], paths["linked"], strict=True)}
-    inside = lambda p: any(s.partition("[")[0] in ("article", "main") for s in p.split("/")) and not _aside(p)
-    main = [inside(p) for p in after]
-    if not any(main):
-        # no article element: the paths with the most text, few links and no marginal part
-        own = {p: sum(c for q, (c, _) in text.items() if q == p or q.startswith(p + "/")) for p in set(after)}
-        good = {p for p in own if not _aside(p) and own[p] > 0 and sum(x for q, (_, x) in text.items() if q == p or q.startswith(p + "/")) < 0.5 * own[p]}
-        deepest = {p for p in good if not any(q != p and q.startswith(p + "/") and own[q] >= 0.6 * own[p] for q in good)}
-        most = max((own[p] for p in deepest), default=0)
-        main = [p in deepest and own[p] >= 0.25 * most for p in after]
+    good = _main_paths(set(after), text)
+    main = [p in good for p in after]
     return {"tokens": kept, "main": main}
 
 
 def templates(pages: DataFrame, min_pages: int = 3) -> DataFrame:
-    """host, template (JSON) of hosts with ``min_pages`` pages, and of all pages under "*"."""
+    """host, template (JSON) of hosts and layouts with ``min_pages`` pages, and of all pages under "*"."""
     stats = cut(observe(pages))
     sizes = stats.where("kind = 2").select("host", F.col("pages").alias("of"))
     some = stats.join(sizes, "host").where((F.col("of") >= min_pages) | (F.col("host") == "*"))
@@ -212,39 +257,67 @@ def templates(pages: DataFrame, min_pages: int = 3) -> DataFrame:
     return cut(some.groupBy("host").applyInPandas(one, "host string, template string"))
 
 
-def main_text(page: str, template: dict) -> str:
-    place = template["place"]
-    main, at, blocks, parts, skip = template["main"], -1, [], [], []
+def _joined(pieces: list) -> str:
+    """Blocks of text from pieces; None ends a block."""
+    blocks, parts = [], []
+    for x in [*pieces, None]:
+        if x is not None:
+            parts.append(x)
+        elif parts:
+            blocks.append(" ".join(entities.unescape("".join(parts)).split()))
+            parts = []
+    return "\n\n".join(b for b in blocks if b)
+
+
+def own_text(page: str) -> str:
+    """The main text of a page judged by itself."""
+    seen, text, before, link = list(events(page)), {}, "", 0
+    for _, path, tag, t in seen:
+        size = len(t.strip())
+        if size:
+            c, x = text.get(before, (0, 0))
+            text[before] = c + size, x + (size if link else 0)
+        before = path
+        link = 1 if tag == "a" else 0 if tag == "/a" else link
+    good = _main_paths({p for q in text for p in (q, *_above(q))}, text)
+    wanted = {q: not _aside(q) and not good.isdisjoint((q, *_above(q))) for q in text}
+    pieces, before = [], ""
+    for _, path, tag, t in seen:
+        if wanted.get(before) and t:
+            pieces.append(t)
+        before = path
+        if tag.lstrip("/") in BLOCK:
+            pieces.append(None)
+        elif tag == "br":
+            pieces.append(" ")
+    return _joined(pieces)
 
-    def flush():
-        if parts:
-            block = " ".join(entities.unescape("".join(parts)).split())
-            if block:
-                blocks.append(block)
-            parts.clear()
 
+def main_text(page: str, template: dict) -> str:
+    place = template["place"]
+    main, at, pieces, skip, met = template["main"], -1, [], [], not place
     inside = template["all"]
     for token, path, tag, text in events(page):
         if inside and not skip and text:
-            parts.append(text)
+            pieces.append(text)
         if not tag:
             continue
         name = tag.lstrip("/")
         if name in BLOCK:
-            flush()
-        elif name == "br" and parts:
-            parts.append(" ")
+            pieces.append(None)
+        elif name == "br" and pieces and pieces[-1] is not None:
+            pieces.append(" ")
         i = place.get(token, -1)
         if i > at:
-            flush()
+            pieces.append(None)
             at, inside, skip = i, main[i], []
+            met = met or inside
         elif inside and name in STRUCTURE:
             if tag[0] != "/" and _aside(path[path.rfind("/") :]):
                 skip.append(path)
             elif skip and not path.startswith(skip[-1]):
                 skip.pop()
-    flush()
-    return "\n\n".join(blocks)
+    return _joined(pieces) if met else own_text(page)
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = 3, broadcast_bytes: int = 16 << 20) -> DataFrame:
@@ -253,10 +326,21 @@ def extract_main_text(pages: DataFrame, min_pages: int = 3, broadcast_bytes: int
     known = templates(p, min_pages)
     common = known.where("host = '*'").first()
     fallback = common["template"] if common else json.dumps({"tokens": [], "main": []})
-    known = known.where("host <> '*'")
-    size = known.agg(F.sum(F.octet_length("template"))).first()[0] or 0
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#:]*)", 1))
-    joined = p.withColumn("host", host).join(F.broadcast(known) if size <= broadcast_bytes else known, "host", "left").select("page_id", "url", "html", "template")
+    hosts, layouts = known.where("host <> '*' AND NOT contains(host, '\n')"), known.where("contains(host, '\n')")
+
+    def looked_up(rows):
+        for rb in rows:
+            urls = rb.column("url").to_pylist()
+            own = [host_of(u) for u in urls]
+            each = [f"{h}\n{layout_of(x or '')}" for h, x in zip(own, rb.column("html").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(own, pa.string()), pa.array(each, pa.string())], [*rb.schema.names, "host", "layout"])
+
+    joined = p.mapInArrow(looked_up, "page_id long, url string, html string, host string, layout string")
+    for one, c in ((hosts, "host"), (layouts, "layout")):
+        size = one.agg(F.sum(F.octet_length("template"))).first()[0] or 0
+        one = one.select(F.col("host").alias(c), F.col("template").alias(f"{c}_template"))
+        joined = joined.join(F.broadcast(one) if size <= broadcast_bytes else one, c, "left")
+    joined = joined.select("page_id", "url", "html", F.coalesce("layout_template", "host_template").alias("template"))
 
     def run(rows):
         ready: dict = {}
