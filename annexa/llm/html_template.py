@@ -48,6 +48,7 @@ _DIGITS = re.compile(r"\d+")
 #: HTML elements by their part in a page.
 STRUCTURE = frozenset("html head body main article section div nav header footer aside form ul ol table tr td figure dialog menu details title button select".split())
 VOID = frozenset("br img input meta link hr wbr source col area base embed track param".split())
+DEPTH = 64
 BLOCK = STRUCTURE | frozenset("p h1 h2 h3 h4 h5 h6 li dl dt dd pre blockquote figcaption address hr thead tbody tfoot th caption summary option".split())
 ASIDE = frozenset("head title nav header footer aside form menu dialog button select".split())
 _ASIDE_NAME = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget\w*|footer|header|masthead|comments?|replies|respond|disqus\w*|share|social|related|newsletter|subscribe|login|search|copyright)(?:$|[^a-z])")
@@ -64,8 +65,11 @@ def _step(tag: str, attributes: str) -> str:
 
 
 def events(page: str):
-    """(token, path after it, tag or "", text before it) in page order; the path is that of open structural elements."""
-    stack, at = [("", "")], 0
+    """(token, path after it, tag or "", text before it) in page order; the path is that of open structural elements.
+
+    A path ends at ``DEPTH``: elements below are only held by name, so that their end tags close them and no others.
+    """
+    stack, at, deep, held = [("", "")], 0, [], {}
     for m in _TOKEN.finditer(page):
         text, at = page[at : m.start()], m.end()
         tag = (m.group(3) or "").lower()
@@ -75,7 +79,16 @@ def events(page: str):
             continue
         path = stack[-1][1]
         if m.group(2):
+            if held.get(tag):
+                while True:
+                    last = deep.pop()
+                    held[last] -= 1
+                    if last == tag:
+                        break
+                yield f"{path}>>/{tag}", path, "/" + tag, text
+                continue
             if tag in STRUCTURE and any(t == tag for t, _ in stack):
+                deep, held = [], {}
                 while stack[-1][0] != tag:
                     stack.pop()
                 path = stack[-1][1]
@@ -83,8 +96,11 @@ def events(page: str):
             yield f"{path}>/{tag}", stack[-1][1], "/" + tag, text
         else:
             step = _step(tag, m.group(4))
-            if tag in STRUCTURE and len(stack) < 64:
+            if tag in STRUCTURE and len(stack) < DEPTH:
                 stack.append((tag, f"{path}/{step}"))
+            elif tag in STRUCTURE:
+                deep.append(tag)
+                held[tag] = held.get(tag, 0) + 1
             yield f"{path}>{step}", stack[-1][1], tag, text
     if at < len(page):
         yield "", stack[-1][1], "", page[at:]

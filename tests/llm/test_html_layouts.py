@@ -29,3 +29,9 @@ def test_small_hosts_without_the_common_slot(spark):
 def test_page_without_main_text(spark):
     rows = [(i, f"http://a.org/{i}", page(i, "<article>", "</article>")) for i in range(4)] + [(9, "http://a.org/9", "<html><body><nav>Home</nav><article></article></body></html>")]
     assert texts(spark, rows)[9] == ""
+
+
+def test_deep_nesting(spark):
+    deep = "<div>" * 90 + "<p>deep</p>" + "</div>" * 90
+    rows = [(i, f"http://a.org/{i}", f"<html><body><div><article><p>First {i}</p>{deep}<p>Last {i}</p></article></div><footer>foot</footer></body></html>") for i in range(4)]
+    assert texts(spark, rows) == {i: f"First {i}\n\ndeep\n\nLast {i}" for i in range(4)}
