@@ -14,7 +14,8 @@ all labels. Scoring reads every text whole.
 
 Cases: null and empty texts score the class share; labels that are null or
 contradict one another for one doc_id are left out; where one class has no
-usable label, every score is the other's share (0.5 without labels); repeated
+usable label, or none with a text, every score is the class share (0.5 without labels); with texts
+too few to train on, their own bytes are the dictionary; repeated
 rows score alike; other columns pass through unread.
 """
 
@@ -37,7 +38,7 @@ def held_out(c="doc_id"):
 
 
 def _coders(good: bytes, bad: bytes, level: int):
-    kinds = zstandard.DICT_TYPE_FULLDICT
+    kinds = zstandard.DICT_TYPE_AUTO  # trained, or plain content: no UTF-8 text starts like a trained one
     return [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kinds), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (good, bad)]
 
 
@@ -56,7 +57,7 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, parts, k=200, d=8).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on: their own bytes serve as content
-        return b""
+        return b"".join(parts)[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -87,11 +88,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, dict_size: int =
     rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id", "text").limit(4 * sample).collect()
     side = {q: [r["text"].encode() for r in rows if r["quality"] == q] for q in (0, 1)}
     model = {"share": share, "level": level, "good": b"", "bad": b"", "slope": 0.0, "base": math.log(share / (1 - share))}
-    if min(map(len, side.values())) < 10:
+    if not side[0] or not side[1]:
         return model
+    for q in (0, 1):
+        if len(side[q]) == 1:  # a lone text: half to learn from, half for the curve
+            (t,) = side[q]
+            side[q] = [t[: (len(t) + 1) // 2], t[(len(t) + 1) // 2 :] or t]
     model["bad"], model["good"] = (_dictionary(side[q][::2], dict_size) for q in (0, 1))
-    if not model["good"] or not model["bad"]:
-        return model
     coders = _coders(model["good"], model["bad"], level)
     x, y = [], []
     for q in (0, 1):
