@@ -7,8 +7,8 @@ more like, and a logistic curve fitted on other labelled texts turns it into a
 probability. Only the text decides.
 
 Bounds: the dictionaries use ``sample`` labelled texts a class and the curve
-``sample`` more, the first 16 KB of each, chosen by hash among all labelled
-rows that may be learnt from. These alone (a few MB, whatever the corpus) come
+``sample`` more, each text whole, chosen by hash among all labelled
+rows that may be learnt from. These rows alone, as many whatever the corpus, come
 to the driver; the class shares that set the curve's level are counted over
 all labels. Scoring reads every text whole.
 
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
-_TAKE = 16_384
 
 
 def held_out(c="doc_id"):
@@ -84,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, dict_size: int =
     for q in (0, 1):  # the same number of rows for any corpus: the two sorts keep 2 * sample rows each
         some = known.where(F.col("quality") == q).orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id").limit(2 * sample)
         picked = some if picked is None else picked.union(some)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, _TAKE).alias("text")).where("text <> ''")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''")
     rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id", "text").limit(4 * sample).collect()
     side = {q: [r["text"].encode() for r in rows if r["quality"] == q] for q in (0, 1)}
     model = {"share": share, "level": level, "good": b"", "bad": b"", "slope": 0.0, "base": math.log(share / (1 - share))}

@@ -1,4 +1,4 @@
-"""The classifier learns from few texts."""
+"""The classifier learns from few texts, and from the whole of long ones."""
 
 import random
 
@@ -38,3 +38,14 @@ def test_few_labels(spark):
 def test_untrainable_texts_serve_themselves():
     made = quality._dictionary([b"a few words only"], 393_216)
     assert made == b"a few words only" and zstandard.ZstdCompressionDict(made, dict_type=zstandard.DICT_TYPE_AUTO)
+
+
+def test_what_follows_a_long_beginning_is_learnt(spark):
+    good, bad = texts(5)
+    rng = random.Random(6)
+    start = lambda: " ".join(f"n{rng.randrange(10**6)}" for _ in range(2600))
+    assert len(start()) > 16_384
+    rows = [(i, start() + " " + (good(1500) if k % 2 else bad(2600)), k % 2) for k, i in enumerate(learnable(spark, 40))]
+    rows += [(1000 + i, good(200), None) for i in range(9)] + [(2000 + i, bad(200), None) for i in range(9)]
+    got = {r["doc_id"]: r["score"] for r in quality.classify_quality(*frames(spark, rows)).collect()}
+    assert min(got[1000 + i] for i in range(9)) > max(got[2000 + i] for i in range(9))
