@@ -35,7 +35,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(sample).alias("text"))
     made = chat.format_chats(rows.unionByName(own)).where("checked IS NULL")
     turns = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("parsed", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+
+    def under(s):
+        cut = F.substr("formatted", s["start"] + 1, s["length"])
+        return F.when(s["escaped"], chat.unescaped(cut)).otherwise(cut)
+
+    loss = F.array_join(F.transform("loss_spans", under), "")
     return made.select(
         "conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
