@@ -10,8 +10,9 @@ new bin where none does. The plan is a list of segments "the next m items of
 length L lie in bins b, b+1, ... at offset o"; an item finds its place by its
 rank among its length.
 
-Ranks are counted per (length, salt), so a length that fills a third of the
-rows is spread over many tasks.
+Ranks are counted per (length, salt); a length has a salt for every
+``salt_rows`` of its pieces, so one that fills a third of the rows is spread
+over as many tasks as its rows need.
 
 Cases: null text is empty and so a piece of the end id alone; repeated rows
 are packed once each; an empty table packs to nothing; other columns ignored.
@@ -22,118 +23,151 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .postings import batches
 
-#: Words kept by a Python worker, about 200 bytes each.
-_CACHE = 700_000
+#: Bytes of text tokenized at a time, and words whose ids a Python worker keeps for the next time.
+BATCH_BYTES = 16 << 20
+_KNOWN = 1_000_000
 _loaded: dict = {}
-_MARKS = b".,!?;:%$*&#|"
+_MARKS = ".,!?;:%$*&#|"
+_LETTERS = "^[a-zÀ-ÖØ-öø-ÿ]+"
 
 
-def _ids(e) -> bytes:
-    return np.array(e.ids, "<u4").tobytes()
+def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """flat[start[i] : start[i] + count[i]] for all i, one behind the other."""
+    shift = start - (np.cumsum(count) - count)
+    return flat[np.repeat(shift, count) + np.arange(int(count.sum()))]
 
 
-def learn(words: set, cache: dict, tokenizer, ends: np.ndarray) -> None:
-    """Adds the ids (little-endian uint32 bytes) of ``words``, none of which the cache has.
+def _byte_signs() -> dict[int, str]:
+    """The printable stand-in of every byte, as byte-level models write it: itself, or the next free code point from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, free = {}, 256
+    for b in range(256):
+        out[b] = chr(b if b in own else free)
+        free += b not in own
+    return out
 
-    No token crosses ASCII white space, ASCII case is folded by the tokenizer
-    anyway, and a run of marks behind a letter is a pre-token of its own; so a
-    word's ids are those of its lower-case stem and marks. Stems that are
-    letters only are one pre-token each, whose last token ends a word: many go
-    through the tokenizer as one text and are told apart by that.
+
+class WordIds:
+    """Token ids of words, learnt as they come.
+
+    No token crosses ASCII white space, so a text's ids are those of its words.
+    ASCII case is folded by the tokenizer, and a run of marks behind a letter is
+    a pre-token of its own; so a word's ids are those of its lower-case stem and
+    its marks. Stems of Latin letters that no normaliser changes go straight to
+    the model; all else passes through the whole tokenizer.
     """
-    parts, stems, rest = {}, set(), set()
-    for w in words:
-        low = w.lower()
-        stem = low.rstrip(_MARKS)
-        try:
-            text = stem.decode()
-        except UnicodeDecodeError:
-            text = ""
-        if text.isalpha():
-            parts[w] = stem, low[len(stem) :]
-            if stem not in cache:
-                stems.add(stem)
-            if len(stem) < len(low) and low[len(stem) :] not in cache:
-                rest.add(low[len(stem) :])
-        else:
-            rest.add(w)
-    stems = list(stems)
-    for lo in range(0, len(stems), 1000):
-        some = stems[lo : lo + 1000]
-        ids = np.array(tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(ends[ids]) + 1
-        if len(at) == len(some) and at[-1] == len(ids):
-            raw, at = ids.tobytes(), [0, *(4 * at).tolist()]
-            for i, w in enumerate(some):
-                cache[w] = raw[at[i] : at[i + 1]]
-        else:
-            rest.update(some)
-    rest = list(rest)
-    for lo in range(0, len(rest), 5000):
-        some = rest[lo : lo + 5000]
-        for w, e in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
-            cache[w] = _ids(e)
-    for w, (stem, marks) in parts.items():
-        if w not in cache:
-            cache[w] = cache[stem] + cache[marks] if marks else cache[stem]
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def word_ends(tokenizer) -> np.ndarray:
-    """For each id whether its token ends a word; no id does, if the tokenizer doesn't mark it."""
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    for token, i in tokenizer.get_vocab().items():
-        ends[i] = token.endswith("</w>")
-    return ends
+        self.tokenizer = Tokenizer.from_file(path)
+        self.signs = _byte_signs()
+        self.reset()
+
+    def reset(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.ids, self.start, self.count = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _through(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for lo in range(0, len(words), 5000) for e in self.tokenizer.encode_batch_fast(words[lo : lo + 5000], add_special_tokens=False)]
+
+    def _stem(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.signs)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def learn(self, words: pa.Array) -> None:
+        """Adds lower-case words, none of them known."""
+        stem = pc.ascii_rtrim(words, _MARKS)
+        plain = pc.match_substring_regex(stem, _LETTERS + "$")
+        whole = pc.invert(plain)
+        stems = pc.utf8_lower(stem.filter(plain)).dictionary_encode()
+        tails = pc.replace_substring_regex(words.filter(plain), _LETTERS, "").dictionary_encode()
+        parts = [self._stem(w) for w in stems.dictionary.to_pylist()] + self._through(tails.dictionary.to_pylist()) + self._through(words.filter(whole).to_pylist())
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        start = np.cumsum(count) - count
+        flat = np.fromiter((i for p in parts for i in p), "<u4", int(count.sum()))
+        # a plain word is two parts, its stem and its marks (maybe none); any other is one
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        first = np.empty(len(words), np.int64)
+        first[is_plain] = stems.indices.to_numpy()
+        first[~is_plain] = len(stems.dictionary) + len(tails.dictionary) + np.arange(int((~is_plain).sum()))
+        each = 1 + is_plain
+        at = np.cumsum(each) - each
+        part = np.empty(int(each.sum()), np.int64)
+        part[at] = first
+        part[at[is_plain] + 1] = len(stems.dictionary) + tails.indices.to_numpy()
+        own = count[first]
+        own[is_plain] += count[part[at[is_plain] + 1]]
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(own) - own])
+        self.ids = np.concatenate([self.ids, gather(flat, start[part], count[part])])
+        self.count = np.concatenate([self.count, own])
+        self.words = pa.concat_arrays([self.words, words])
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        flat = split.flatten()
+        flat = flat if not isinstance(flat, pa.ChunkedArray) else flat.combine_chunks()
+        coded = flat.dictionary_encode()
+        words = coded.dictionary
+        if len(self.words) > _KNOWN:
+            self.reset()
+        place = pc.index_in(words, value_set=self.words)
+        if place.null_count:
+            before = len(self.words)
+            self.learn(words.filter(place.is_null()))
+            place = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+            place[place < 0] = before + np.arange(len(self.words) - before)
+        else:
+            place = place.to_numpy()
+        at = place[coded.indices.to_numpy()]
+        count = self.count[at]
+        # the empty strings that white space at an end of a text leaves are words of no ids
+        before = np.concatenate([[0], np.cumsum(count)])
+        return gather(self.ids, self.start[at], count), np.diff(before[split.offsets.to_numpy()])
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked, the ids."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def pieces(rows):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         if tokenizer_path not in _loaded:
-            own = Tokenizer.from_file(tokenizer_path)
-            _loaded[tokenizer_path] = own, {}, word_ends(own)
-        tokenizer, cache, ends = _loaded[tokenizer_path]
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for rb in rows:
-            ids, texts = rb.column("doc_id").to_pylist(), rb.column("text")
-            for lo in range(0, len(ids), 64):
-                out = []
-                split = [x.encode().split() if x else [] for x in texts.slice(lo, 64).to_pylist()]
-                if len(cache) > _CACHE:
-                    cache.clear()
-                get, found = cache.get, []
-                missing: set = set()
-                for w in split:
-                    got = list(map(get, w))
-                    if None in got:
-                        missing.update(x for x, g in zip(w, got, strict=True) if g is None)
-                        got = None
-                    found.append(got)
-                if missing:
-                    learn(missing, cache, tokenizer, ends)
-                for doc_id, w, got in zip(ids[lo : lo + 64], split, found, strict=True):
-                    all_ids = b"".join(map(cache.__getitem__, w) if got is None else got) + end
-                    for k in range(0, len(all_ids), step):
-                        part = all_ids[k : k + step]
-                        out.append((doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").tolist() if keep_ids else None))
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>")
+            _loaded[tokenizer_path] = WordIds(tokenizer_path)
+        known = _loaded[tokenizer_path]
+        for part in batches(rows, by_id=False, size_bytes=BATCH_BYTES):
+            ids, n = known.of(part["text"].combine_chunks())
+            # every document's ids and its end id, as one run
+            ends = np.cumsum(n + 1)
+            run = np.full(int(ends[-1]), end_id, "<u4")
+            keep = np.ones(len(run), bool)
+            keep[ends - 1] = False
+            run[keep] = ids
+            per = -(-(n + 1) // capacity)
+            doc = np.repeat(np.arange(len(n)), per)
+            piece = np.arange(len(doc)) - (np.cumsum(per) - per)[doc]
+            lo = (ends - n - 1)[doc] + piece * capacity
+            hi = np.minimum(lo + capacity, ends[doc])
+            raw = memoryview(run).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            held = pa.ListArray.from_arrays(pa.array(np.append(lo, hi[-1:]), pa.int32()), pa.array(run, pa.int64())) if keep_ids else pa.nulls(len(doc), pa.list_(pa.int64()))
+            cols = [part["doc_id"].take(pa.array(doc)).combine_chunks(), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(crc, pa.int64()), held]
+            yield from pa.table(cols, names).to_batches()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<long>")
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -198,17 +232,19 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return out, bins
 
 
-def pack_best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+def pack_best_fit(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, salt_rows: int = 1 << 10) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked)."""
-    items = cut(tokenized(docs, tokenizer_path, capacity, end_id, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(64)).cast("int")))
-    counts = cut(items.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    items = cut(tokenized(docs, tokenizer_path, capacity, end_id, keep_ids).withColumn("row", F.monotonically_increasing_id()))
     # At most `capacity` rows come to the driver, however large the corpus.
-    histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {int(r["length"]): int(r["n"]) for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = docs.sparkSession.createDataFrame([(k, -(-n // salt_rows)) for k, n in histogram.items()], "length long, salts long")
+    items = items.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), "salts").cast("int")).drop("salts")
+    counts = cut(items.groupBy("length", "salt").agg(F.count("*").alias("n")))
     segments, _ = plan_bins(histogram, capacity)
     plan = np.array(sorted(segments), np.int64).reshape(-1, 5)
     first = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "base")
-    ranked = items.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")) - 1)
-    ranked = ranked.join(first, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("base", "own", "salt")
+    ranked = items.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
+    ranked = ranked.join(first, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("base", "own", "salt", "row")
 
     def place(rows):
         scale = np.int64(1) << 44

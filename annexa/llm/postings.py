@@ -45,8 +45,8 @@ def unpack_steps(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(x, np.uint16 if x[0] == 2 else np.uint32, offset=1), dtype=np.int64)
 
 
-def batches(rows, by_id: bool = True, once: bool = False):
-    """Record batches cut to about BATCH_BYTES of text (one row at least).
+def batches(rows, by_id: bool = True, once: bool = False, size_bytes: int = BATCH_BYTES):
+    """Tables cut to about ``size_bytes`` of text (one row at least).
 
     by_id: in order of doc_id. once: rows equal in doc_id and text hash count once.
     """
@@ -55,7 +55,7 @@ def batches(rows, by_id: bool = True, once: bool = False):
         if not t.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(t["text"]), 0).to_numpy()
-        group = np.cumsum(size, dtype=np.int64) // BATCH_BYTES
+        group = np.cumsum(size, dtype=np.int64) // size_bytes
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), t.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             part = t.slice(lo, hi - lo).combine_chunks()
