@@ -2,54 +2,50 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark 4.1's switch for dropping an execution's shuffle files when it ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark is one process (tests)."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="annexa-checkpoint-"))
-        have = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        have = tempfile.mkdtemp(prefix="annexa-checkpoint-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(have)
     return sc.getCheckpointDir() or have
 
 
-def cut(df: DataFrame, big: bool = False) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
-
-    Lost executors do not matter after this: the rows are reread, not
-    recomputed. Spark's cleaner drops the files with the last reference. big:
-    collect garbage at once, so that it drops the shuffles behind the cut and
-    the disk holds one step at a time.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    out = df.checkpoint()
-    del df  # else its shuffles live on until the next cut
-    if big:
-        release(spark)
-    return out
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within, the shuffle files of an execution go when it ends, so that the disk holds one step at a time."""
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffles that no DataFrame needs any more.
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder.
 
-    Python's references reach the JVM with a delay, and Spark's listeners hold
-    a query a moment longer: collected once, garbage may still be held, so thrice.
+    Lost executors do not matter after this: the rows are reread, not
+    recomputed. The shuffles behind the cut are dropped at once.
     """
-    for _ in range(3):
-        gc.collect()
-        time.sleep(0.7)
-        spark._jvm.System.gc()
-        time.sleep(0.4)
+    ensure_checkpoint_dir(df.sparkSession)
+    with shuffles_dropped(df.sparkSession):
+        return df.checkpoint()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

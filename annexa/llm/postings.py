@@ -1,12 +1,16 @@
 """Corpus-wide statistics of n-gram hashes with one packed shuffle.
 
 Texts are read in batches of a few MB. A batch sends each distinct hash once,
-packed by hash bucket (4-byte hash rest, 2-byte index step), so a gram that
+packed by hash bucket (the rest of the hash, 2-byte index step), so a gram that
 fills a third of the corpus costs one entry per batch and no task sees more
 than its bucket. The bucket answers with the hashes that matter, and the batch
 (whose row-wise index stream went along, compressed) turns them back into
-rows. Memory is bounded by the batch and the bucket, whose number is a
-parameter that grows with the input.
+rows. Memory is bounded by the batch and the bucket; the number of buckets
+grows with the bytes of text, one for every BUCKET_BYTES and without a limit.
+
+Hashes have 64 bits whatever the number of buckets. Where a false hit would
+only cost work, as what it finds is compared again, 32 bits beside the
+bucket's are sent (``exact=False``).
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id inside the packed rows.
 NO_ID = -(1 << 63)
 BATCH_BYTES = 4 << 20
-PACKED = "key int, batch long, kind int, a binary, b binary, c binary"
-_PACKED = pa.schema([("key", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+BUCKET_BYTES = 16 << 20
+PACKED = "key long, batch long, kind int, a binary, b binary, c binary"
+_PACKED = pa.schema([("key", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -126,19 +131,40 @@ def batch_number(k: int) -> int:
 
 
 def bucket_bits(docs: DataFrame) -> int:
-    """log2 of the buckets: 256, and from 64 shuffle partitions on four times as many as those."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(16, (4 * parts - 1).bit_length() if parts > 256 else 8))
+    """log2 of the buckets: 256 at least, and one for every BUCKET_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, (-(-size // BUCKET_BYTES) - 1).bit_length())
+
+
+def by_bucket(h: np.ndarray, bits: int):
+    """(bucket, indexes of h in it, ascending) of every bucket that holds some."""
+    bucket = h >> np.uint64(64 - bits)
+    order = np.argsort(bucket, kind="stable")
+    edges = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(h)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        yield int(bucket[order[lo]]), order[lo:hi]
+
+
+def pack_rest(h: np.ndarray, exact: bool) -> bytes:
+    """The low 56 bits of hashes (the bucket has the other 8), or their low 32."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 7 if exact else 4]).tobytes()
+
+
+def unpack_rest(x: bytes, exact: bool) -> np.ndarray:
+    width = 7 if exact else 4
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8).reshape(-1, width)
+    return out.view("<u8")[:, 0]
 
 
-def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_batch, schema: str, once: bool = False) -> DataFrame:
+def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_batch, schema: str, once: bool = False, exact: bool = True) -> DataFrame:
     """Which gram hashes occur more than once, told to each row that has them.
 
     grams(table) -> (hash, row, position, mark) arrays, in row order.
     once_a_row: count rows with the hash, else occurrences. need_mark: a hash
     counts only if one of its occurrences is marked. per_batch(ids, hashes,
     counts, stream, positions, df, keys) -> pa.Table: df has each number's
-    count (1 where not shared; with need_mark 2 where it is), keys its bucket and hash rest. once: see batches().
+    count (1 where not shared; with need_mark 2 where it is), keys its hash. once: see batches().
     """
     bits = bucket_bits(docs)
 
@@ -154,15 +180,10 @@ def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_
                 hu = h[first]
                 n = np.bincount(stream)
                 m = np.bincount(stream, weights=mark[kept]) > 0 if need_mark else None
-                bucket = (hu >> np.uint64(64 - bits)).astype(np.uint16)
-                rest = (hu >> np.uint64(32 - bits)).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                for b in np.flatnonzero(np.diff(edges)):
-                    at = order[edges[b] : edges[b + 1]]
+                for b, at in by_bucket(hu, bits):
                     many = np.flatnonzero(n[at] > 1)
                     extra = np.array([len(many)], np.uint32).tobytes() + many.astype(np.uint32).tobytes() + n[at[many]].astype(np.uint32).tobytes()
-                    out.append((int(b), batch, 0, rest[at].tobytes(), pack_steps(at), extra + (np.packbits(m[at]).tobytes() if need_mark else b"")))
+                    out.append((b, batch, 0, pack_rest(hu[at], exact), pack_steps(at), extra + (np.packbits(m[at]).tobytes() if need_mark else b"")))
             yield from table(out).to_batches()
 
     def meet(t: pa.Table) -> pa.Table:
@@ -174,7 +195,7 @@ def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_
             else:
                 own.append(i)
         if own:
-            rest = [np.frombuffer(t["a"][i].as_py(), np.uint32) for i in own]
+            rest = [unpack_rest(t["a"][i].as_py(), exact) for i in own]
             size = [len(x) for x in rest]
             n = np.ones(sum(size), np.int64)
             m = np.zeros(len(n), bool)
@@ -202,7 +223,7 @@ def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_
                 hit = np.flatnonzero(d)
                 if len(hit):
                     idx = unpack_steps(t["b"][i].as_py())[hit]
-                    out.append((key, t["batch"][i].as_py(), 0, pack_steps(idx), b"" if need_mark else squeeze(np.minimum(d[hit], 0xFFFFFFFF).astype(np.uint32)), b"" if need_mark else rest[at + hit].tobytes()))
+                    out.append((key, t["batch"][i].as_py(), 0, pack_steps(idx), b"" if need_mark else squeeze(np.minimum(d[hit], 0xFFFFFFFF).astype(np.uint32)), b"" if need_mark else pack_rest(rest[at + hit], exact)))
                 at += s
         return table(out)
 
@@ -218,7 +239,8 @@ def shared_grams(docs: DataFrame, grams, once_a_row: bool, need_mark: bool, per_
                 idx = unpack_steps(t["a"][i].as_py())
                 df[idx] = 2 if need_mark else unsqueeze(t["b"][i].as_py(), np.uint32)
                 if not need_mark:
-                    keys[idx] = (t["key"][i].as_py() << 32) + np.frombuffer(t["c"][i].as_py(), np.uint32).astype(np.int64)
+                    top = np.uint64(t["key"][i].as_py() >> (bits - 8) << 56)
+                    keys[idx] = (top + unpack_rest(t["c"][i].as_py(), exact)).view(np.int64)
         return per_batch(ids, th, counts, stream, pos, df, keys)
 
     return docs.mapInArrow(send, PACKED).groupBy("key").applyInArrow(meet, PACKED).groupBy("batch").applyInArrow(back, schema)

@@ -7,15 +7,16 @@ reference block: block k of a text is words ``k*b .. k*b + b - 1`` with
 1. every text's non-overlapping blocks are the index and every rolling window
    of b words probes it (one packed shuffle, see ``postings``);
 2. hits extend to maximal exact repeats: all windows of ``window`` words that
-   lie over a hit are compared by a 128-bit hash, and each sequence keeps its
-   first occurrence (smallest doc_id, then start), whatever the number of
-   copies, so nothing is quadratic in a passage's popularity;
+   lie over a hit are compared by two independent 64-bit hashes of their words,
+   and each sequence keeps its first occurrence (smallest doc_id, then start),
+   whatever the number of copies, so nothing is quadratic in a passage's
+   popularity; windows that repeat side by side make up the maximal repeat;
 3. the words under windows that are not first are removed from the text.
 
 Windows are judged on the input. Cases: null or empty texts have no words;
 texts under ``window`` words stay whole; equal rows (same doc_id and text) are
 one occurrence and get equal results; a null doc_id sorts before all others;
-other columns are ignored (clashing names included).
+texts and words may be of any length, as words count by their hashes; other columns are ignored (clashing names included).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import cut
-from .postings import NO_ID, PACKED, batch_number, batches, bucket_bits, distinct, document_row, keyed, list_of, mix_int, pack_steps, read_document_row, real_id, shared_grams, squeeze, table, unpack_steps, unsqueeze
+from .postings import NO_ID, PACKED, batch_number, batches, bucket_bits, by_bucket, distinct, document_row, keyed, list_of, mix_int, pack_steps, read_document_row, real_id, shared_grams, squeeze, table, unpack_steps, unsqueeze
 
 _SPOTS = "doc_id long, th long, spots array<int>"
 
@@ -48,18 +49,17 @@ def anchor_hits(docs: DataFrame, window: int) -> DataFrame:
     b = window // 2
 
     def grams(part):
-        data, offsets = words.buffers(part["text"])
-        starts, ends, counts = words.spans(data, offsets)
+        w, _, counts = words.hashed(part["text"])
         row, pos = words.gram_rows(np.where(counts >= window, counts, 0), b)
         first = np.cumsum(counts) - counts
-        h = words.grams(words.hashes(data, starts, ends), b, 11)[first[row] + pos] if len(row) else np.zeros(0, np.uint64)
+        h = words.grams(w, b, 11)[first[row] + pos] if len(row) else np.zeros(0, np.uint64)
         return h, row, pos, pos % b == 0
 
     def per_batch(ids, th, counts, stream, pos, df, keys):
         hit = df[stream] > 1
         return _spots(ids, th, _per_row(counts, hit), pos[hit])
 
-    return shared_grams(docs, grams, False, True, per_batch, _SPOTS, once=True)
+    return shared_grams(docs, grams, False, True, per_batch, _SPOTS, once=True, exact=False)
 
 
 def later_windows(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
@@ -69,8 +69,7 @@ def later_windows(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
 
     def send(rows):
         for k, part in enumerate(batches(rows, once=True)):
-            data, offsets = words.buffers(part["text"])
-            starts, ends, n_words = words.spans(data, offsets)
+            w, w2, n_words = words.hashed(part["text"])
             ids = part["doc_id"].to_numpy()
             spots = part["spots"].combine_chunks() if isinstance(part["spots"], pa.ChunkedArray) else part["spots"]
             spots = spots.chunk(0) if isinstance(spots, pa.ChunkedArray) else spots
@@ -78,7 +77,7 @@ def later_windows(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
             spot = spots.flatten().to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(per)), per)
             first = np.cumsum(n_words) - n_words
-            cover = np.zeros(len(starts) + 1, np.int64)
+            cover = np.zeros(len(w) + 1, np.int64)
             np.add.at(cover, first[row] + np.maximum(spot - (window - b), 0), 1)
             np.add.at(cover, first[row] + spot + 1, -1)
             here = np.cumsum(cover[:-1]) > 0
@@ -86,22 +85,17 @@ def later_windows(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
             at = first[g_row] + g_pos
             use = here[at] if len(at) else np.zeros(0, bool)
             g_row, g_pos, at = g_row[use], g_pos[use], at[use]
-            w = words.hashes(data, starts, ends)
             h = words.grams(w, window, 23)[at] if len(at) else np.zeros(0, np.uint64)
-            h2 = words.grams(w, window, 29)[at] if len(at) else h
+            h2 = words.grams(w2, window, 29)[at] if len(at) else h
             kept, stream, new = distinct(h, g_row, False)
             batch = batch_number(k)
             counts = np.bincount(g_row, minlength=part.num_rows)
             out = [document_row(batch, mix_int(batch) % (1 << bits), ids, part["th"].to_numpy(), counts, stream, g_pos)]
             if len(new):
-                bucket = (h[new] >> np.uint64(64 - bits)).astype(np.uint16)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                for x in np.flatnonzero(np.diff(edges)):
-                    u = order[edges[x] : edges[x + 1]]
+                for x, u in by_bucket(h[new], bits):
                     e = new[u]
                     place = squeeze(np.concatenate([np.diff(ids[g_row[e]], prepend=0), g_pos[e]]))
-                    out.append((int(x), batch, 0, h[e].tobytes() + h2[e].tobytes(), pack_steps(u), place))
+                    out.append((x, batch, 0, h[e].tobytes() + h2[e].tobytes(), pack_steps(u), place))
             yield from table(out).to_batches()
 
     def meet(t: pa.Table) -> pa.Table:
@@ -154,8 +148,8 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < 2:
         raise ValueError("window must be 2 words at least")
     own = keyed(docs)
-    hits = cut(anchor_hits(own, window), big=True)
-    late = cut(later_windows(own, hits, window), big=True).dropDuplicates(["doc_id", "th"])
+    hits = cut(anchor_hits(own, window))
+    late = cut(later_windows(own, hits, window)).dropDuplicates(["doc_id", "th"])
     whole = own.join(late, ["doc_id", "th"], "left").select("doc_id", "th", "text", "spots")
 
     def keep(rows):

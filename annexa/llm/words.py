@@ -2,21 +2,19 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, i.e. the
 pattern ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text. Everything here works on
-whole texts, straight on the Arrow buffers, without a Python loop per word.
+whole texts in Arrow and numpy, without a Python step per word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,19 +33,6 @@ def constants(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * _R + np.uint64(seed)) | np.uint64(1)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        made = []
-        for base in (_R, _R_INV):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
-        _powers = made[0], made[1]
-    return _powers
-
-
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, n + 1 offsets) of a string column; nulls count as empty."""
     if isinstance(text, pa.ChunkedArray):
@@ -81,25 +66,26 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (A-Z first lower-cased, if asked)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = np.empty(len(starts), np.uint64)
-        block, first = 1 << 20, 0
-        while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + block, "right")))
-            lo, hi = int(starts[first]), int(ends[last - 1])
-            up, down = _power(hi - lo + 1)
-            part = data[lo:hi]
-            part = (_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)
-            run = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(part * up[: hi - lo], out=run[1:])
-            s, e = starts[first:last] - lo, ends[first:last] - lo
-            out[first:last] = (run[e] - run[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            first = last
-        return mix(out)
+def hashed(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first half, second half) of a 128-bit hash of every word's bytes in order, and the number of words of each row.
+
+    The halves are XXH3's, which no known family of words brings together (sums
+    of powers modulo 2^64 collide on long periodic words). A batch's words are
+    told apart first, so each different one is hashed once.
+    """
+    if isinstance(text, pa.ChunkedArray):
+        text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
+    text = pc.fill_null(text, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    coded = split.flatten().dictionary_encode()
+    each = coded.dictionary.cast(pa.binary()).to_pylist()
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in each]), "<u8").reshape(-1, 2)
+    at, offsets = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    if b"" in each:  # white space at an end of a text leaves an empty word
+        real = at != each.index(b"")
+        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+        at = at[real]
+    return both[at, 0].astype(np.uint64), both[at, 1].astype(np.uint64), np.diff(offsets)
 
 
 def grams(words: np.ndarray, n: int, seed: int) -> np.ndarray:

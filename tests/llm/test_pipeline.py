@@ -15,11 +15,12 @@ from tests.conftest import SF
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
 
-def near_groups(rows):
+def near_groups(rows, n=5, percent=80):
+    """Groups by brute force, at the pipeline's five words and 80 percent."""
     sets = {}
     for r in rows:
         w = [x.translate({k: k + 32 for k in range(65, 91)}) for x in WORD.findall(r["text"] or "")]
-        sets[r["doc_id"]] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[r["doc_id"]] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     up = {i: i for i in sets}
 
     def find(i):
@@ -29,7 +30,7 @@ def near_groups(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}
