@@ -92,6 +92,15 @@ def _same(parsed: Column, turns: Column) -> Column:
     return plain == turns
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, and not again in each expression that later uses them.
+
+    The optimiser writes a column's expression into its users but not through a generator.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, level, parsed (turns read back), loss_spans (start, length, escaped) by conversation."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -103,10 +112,10 @@ def format_chats(rows: DataFrame) -> DataFrame:
     for level in (0, 1, 2):
         made = render(F.col("turns"), level)
         open_ = F.lit(True) if level == 0 else ~F.col("ok")
-        convs = convs.withColumn("formatted", made if level == 0 else F.when(open_, made).otherwise(F.col("formatted")))
-        convs = convs.withColumn("parsed", parse(F.col("formatted")))
-        convs = convs.withColumn("level", F.lit(0) if level == 0 else F.when(open_, F.lit(level)).otherwise(F.col("level")))
-        convs = convs.withColumn("ok", _same(F.col("parsed"), F.col("turns")))
+        now = lambda new, old: new if level == 0 else F.when(open_, new).otherwise(F.col(old))  # noqa: B023, E731
+        convs = settled(convs, formatted=now(made, "formatted"), level=now(F.lit(level), "level"))
+        convs = settled(convs, parsed=now(parse(F.col("formatted")), "parsed"))
+        convs = settled(convs, ok=now(_same(F.col("parsed"), F.col("turns")), "ok"))
     convs = convs.withColumn("checked", F.assert_true(F.col("ok"), F.lit("a conversation does not survive its round trip")))
 
     def span(acc: Column, p: Column) -> Column:

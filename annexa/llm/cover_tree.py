@@ -14,7 +14,10 @@ Scale: equal vectors are collapsed first. A label is cut by its coarsest level:
 up to ``max_cells`` centres, every vector to its nearest; a cell with many
 vectors is dealt into parts of ``part_rows``. A task walks the trees of two
 parts. Cell pairs, and single vectors against cells, are pruned by the same
-covering-radius bounds before they are sent. A task returns link counts and a
+covering-radius bounds before they are sent. The bounds need distances that
+differ: in a label whose vectors are all about as far from one another (isotropic
+ones in many dimensions) no centre's ball excludes anything, and an exact join by
+this method compares all pairs of the label, in blocks. A task returns link counts and a
 spanning forest of its links, both linear in its vectors; components are then
 found over the forests.
 
@@ -178,7 +181,7 @@ def _unit(vec: pa.ChunkedArray, n: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def near_dedup(rows: DataFrame, threshold: float = 0.98, max_cells: int = 64, part_rows: int = 4096) -> DataFrame:
+def near_dedup(rows: DataFrame, threshold: float = 0.98, max_cells: int = 1024, part_rows: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
@@ -243,7 +246,6 @@ def near_dedup(rows: DataFrame, threshold: float = 0.98, max_cells: int = 64, pa
     def deal(c: pa.Table, v: pa.Table) -> pa.Table:
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         names = ["label", "dim", "first", "second", "side", "id", "weight", "vec"]
-        out: list[list] = [[] for _ in names]
         if v.num_rows:
             cells = c["cells"][0].as_py()
             y = unit(pa.chunked_array([pa.array([k["cvec"] for k in cells], pa.binary())]), len(cells))
@@ -262,13 +264,14 @@ def near_dedup(rows: DataFrame, threshold: float = 0.98, max_cells: int = 64, pa
             meets = (far <= radius[None, :] + r + _EPS) & (far <= away[:, None] + 2 * r + _EPS)
             # both ends must send: a pair of cells needs either side's centres near enough
             meets[np.arange(len(x)), home] = True
-            lab, dim, w, vec = v["label"].to_pylist(), v["dim"].to_pylist(), v["weight"].to_pylist(), v["vec"].to_pylist()
-            for i, g in zip(*np.nonzero(meets), strict=True):
-                for other in range(base[g], base[g] + parts[g]):
-                    a, b = (int(mine[i]), int(other)) if mine[i] <= other else (int(other), int(mine[i]))
-                    for col, value in zip(out, (lab[i], dim[i], a, b, int(mine[i] == b and a != b), int(ids[i]), w[i], vec[i]), strict=True):
-                        col.append(value)
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+            i, g = np.nonzero(meets)
+            i, g, other = np.repeat(i, parts[g]), np.repeat(g, parts[g]), np.arange(int(parts[g].sum())) + np.repeat(base[g] - (np.cumsum(parts[g]) - parts[g]), parts[g])
+            # all parts of a cell that a vector meets; the smaller of two part numbers comes first
+            first, second = np.minimum(mine[i], other), np.maximum(mine[i], other)
+            at = pa.array(i)
+            own = {"label": v["label"].take(at), "dim": v["dim"].take(at), "first": first, "second": second, "side": (mine[i] > other).astype(np.int32), "id": ids[i], "weight": v["weight"].take(at), "vec": v["vec"].take(at)}
+            return pa.table({n: x.cast(t) if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for (n, x), t in zip(own.items(), kinds, strict=True)})
+        return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
 
     tasks = _fresh(of_label).groupBy("label", "dim", "chunk").cogroup(placed.groupBy("label", "dim", "chunk")).applyInArrow(deal, "label string, dim int, first int, second int, side int, id long, weight long, vec binary")
 

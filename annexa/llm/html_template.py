@@ -10,9 +10,11 @@
    whose tokens come once a page, on half the host's pages at least, are valid
    if their order by mean place agrees with their nesting; the classes on all
    pages are the template's skeleton, the others nest in its slots.
-3. A slot is main text if its path leads into an article or main element and
-   not through a menu, header, footer, sidebar, form or the like; a host
-   without such an element gets the slots with the most text and few links.
+3. A slot whose whole text is the same on all pages, ``fixed_pages`` at least,
+   belongs to the template and is no main text (unless no slot varies). Of those that vary, one is main text
+   if its path leads into an article or main element and not through a menu,
+   header, footer, sidebar, form or the like, which vary too; a host without
+   such an element gets the slots with the most text and few links.
 4. A page is cut at its template's tokens, in order, and the text of its main
    slots is returned by blocks.
 
@@ -25,7 +27,7 @@ are broadcast only if their measured size is small, else joined.
 
 Cases: null or empty html, or none that is main text, gives an empty text; a
 null or odd url has host ""; unclosed elements, comments and entities at the
-end of cut pages are read as far as they go; repeated rows give equal results;
+end of cut pages are read as far as they go; pages of any length are read whole; repeated rows give equal results;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -37,6 +39,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,39 +70,30 @@ def _step(tag: str, attributes: str) -> str:
 def events(page: str):
     """(token, path after it, tag or "", text before it) in page order; the path is that of open structural elements.
 
-    A path ends at ``DEPTH``: elements below are only held by name, so that their end tags close them and no others.
+    All open elements are tracked, but a path spells out ``DEPTH`` of them: below, it ends in the innermost element,
+    or in the marginal one (menu, form, ...) that holds it. So paths stay short however deep a page is nested.
     """
-    stack, at, deep, held = [("", "")], 0, [], {}
+    stack, at, held = [("", "")], 0, {}
     for m in _TOKEN.finditer(page):
         text, at = page[at : m.start()], m.end()
         tag = (m.group(3) or "").lower()
+        path = stack[-1][1]
         if not tag:
             if text:
-                yield "", stack[-1][1], "", text
-            continue
-        path = stack[-1][1]
-        if m.group(2):
+                yield "", path, "", text
+        elif m.group(2):
             if held.get(tag):
-                while True:
-                    last = deep.pop()
+                last = ""
+                while last != tag:
+                    last, path = stack.pop()
                     held[last] -= 1
-                    if last == tag:
-                        break
-                yield f"{path}>>/{tag}", path, "/" + tag, text
-                continue
-            if tag in STRUCTURE and any(t == tag for t, _ in stack):
-                deep, held = [], {}
-                while stack[-1][0] != tag:
-                    stack.pop()
-                path = stack[-1][1]
-                stack.pop()
             yield f"{path}>/{tag}", stack[-1][1], "/" + tag, text
         else:
             step = _step(tag, m.group(4))
-            if tag in STRUCTURE and len(stack) < DEPTH:
-                stack.append((tag, f"{path}/{step}"))
-            elif tag in STRUCTURE:
-                deep.append(tag)
+            if tag in STRUCTURE:
+                trunk = stack[DEPTH - 1][1] if len(stack) >= DEPTH else path
+                marginal = len(stack) > DEPTH and _aside(path[len(trunk) :])
+                stack.append((tag, path if marginal else f"{trunk}/{step}"))
                 held[tag] = held.get(tag, 0) + 1
             yield f"{path}>{step}", stack[-1][1], tag, text
     if at < len(page):
@@ -137,9 +131,10 @@ def _mix(x: int) -> int:
 
 
 def observe(pages: DataFrame) -> DataFrame:
-    """host, kind (0 token, 1 path, 2 pages), key, pages, total, signature, place, chars, linked: sums over pages.
+    """host, kind (0 token, 1 path, 2 pages), key, pages, total, signature, place, chars, linked, least, most: sums over pages.
 
-    Rows of a host's layout have it behind the host, after a line break.
+    A path's chars, linked chars and the range of its text hashes are of all
+    text below it, so that a path on most pages needs no rows of rarer ones. Rows of a host's layout have it behind the host, after a line break.
     """
 
     def run(rows):
@@ -147,27 +142,31 @@ def observe(pages: DataFrame) -> DataFrame:
         for rb in rows:
             sums: dict[tuple, list] = {}
 
-            def add(host, kind, key, pages, total, sig, place, chars, linked):
-                s = sums.setdefault((host, kind, key), [0, 0, 0, 0.0, 0, 0])
+            def add(host, kind, key, pages, total, sig, place, chars, linked, mark):
+                s = sums.setdefault((host, kind, key), [0, 0, 0, 0.0, 0, 0, mark, mark])
                 s[0] += pages
                 s[1] += total
                 s[2] = (s[2] + sig) & 0xFFFFFFFFFFFFFFFF
                 s[3] += place
                 s[4] += chars
                 s[5] += linked
+                s[6], s[7] = min(s[6], mark), max(s[7], mark)
 
             for page_id, url, page in zip(*(c.to_pylist() for c in rb.columns), strict=True):
                 seed += 1
                 weight = _mix(_mix((page_id or 0) & 0xFFFFFFFFFFFFFFFF) + len(page or ""))
                 tokens: dict[str, list] = {}
                 paths: dict[str, list] = {}
-                n, link, before, steps = 0, 0, "", set()
+                n, link, before, steps, above = 0, 0, "", set(), {}
                 for token, path, tag, text in events(page or ""):
-                    size = len(text.strip())
-                    if size:
-                        p = paths.setdefault(before, [0, 0])
-                        p[0] += size
-                        p[1] += size if link else 0
+                    text = text.strip()
+                    if text:
+                        size, mark = len(text), xxhash.xxh3_64_intdigest(text)
+                        for q in above.get(before) or above.setdefault(before, [before, *_above(before)]):
+                            p = paths.setdefault(q, [0, 0, 0])
+                            p[0] += size
+                            p[1] += size if link else 0
+                            p[2] = (p[2] + mark) & 0x7FFFFFFFFFFFFFFF
                     steps.add(_layout_step(path, before, tag))
                     before = path
                     if tag == "a":
@@ -180,22 +179,22 @@ def observe(pages: DataFrame) -> DataFrame:
                         n += 1
                 own = host_of(url)
                 for host in (own, "*", f"{own}\n{' '.join(sorted(steps - {''}))}"):
-                    add(host, 2, "", 1, 1, weight, 0.0, 0, 0)
+                    add(host, 2, "", 1, 1, weight, 0.0, 0, 0, 0)
                     for k, (c, first) in tokens.items():
-                        add(host, 0, k, 1, c, c * weight, first / n, 0, 0)
-                    for k, (c, linked) in paths.items():
-                        add(host, 1, k, 1, 1, 0, 0.0, c, linked)
+                        add(host, 0, k, 1, c, c * weight, first / n, 0, 0, 0)
+                    for k, (c, linked, mark) in paths.items():
+                        add(host, 1, k, 1, 1, 0, 0.0, c, linked, mark)
             keys, vals = list(sums), list(sums.values())
             cols = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
             cols += [pa.array([v[0] for v in vals], pa.int64()), pa.array([v[1] for v in vals], pa.int64()), pa.array([v[2] - (1 << 64) * (v[2] >> 63) for v in vals], pa.int64())]
-            cols += [pa.array([v[i] for v in vals], t) for i, t in ((3, pa.float64()), (4, pa.int64()), (5, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["host", "kind", "key", "pages", "total", "signature", "place", "chars", "linked"])
+            cols += [pa.array([v[i] for v in vals], t) for i, t in ((3, pa.float64()), (4, pa.int64()), (5, pa.int64()), (6, pa.int64()), (7, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["host", "kind", "key", "pages", "total", "signature", "place", "chars", "linked", "least", "most"])
 
-    each = pages.mapInArrow(run, "host string, kind int, key string, pages long, total long, signature long, place double, chars long, linked long")
+    each = pages.mapInArrow(run, "host string, kind int, key string, pages long, total long, signature long, place double, chars long, linked long, least long, most long")
     # the signature is a sum modulo 2^64: its halves are summed as decimals and folded again
     low, high = F.pmod("signature", F.lit(1 << 32)), F.pmod(F.shiftright("signature", 32), F.lit(1 << 32))
     sums = each.groupBy("host", "kind", "key").agg(
-        *(F.sum(c).alias(c) for c in ("pages", "total", "place", "chars", "linked")), F.sum(low).alias("low"), F.sum(high).alias("high")
+        *(F.sum(c).alias(c) for c in ("pages", "total", "place", "chars", "linked")), F.sum(low).alias("low"), F.sum(high).alias("high"), F.min("least").alias("least"), F.max("most").alias("most")
     )
     return sums.withColumn("signature", F.concat_ws(":", F.pmod(F.col("high") + F.floor(F.col("low") / (1 << 32)), F.lit(1 << 32)), F.pmod("low", F.lit(1 << 32))))
 
@@ -210,16 +209,12 @@ def _above(path: str):
 
 
 def _main_paths(slots: set[str], text: dict[str, tuple[int, int]]) -> set[str]:
-    """Those of ``slots`` that are main text, given the characters and linked characters at each path."""
+    """Those of ``slots`` that are main text, given the characters and linked characters below each path."""
     found = {p for p in slots if _holds_main(p) and not _aside(p)}
     if found:
         return found
     # no article element: the paths with the most text, few links and no marginal part
-    own, linked = dict.fromkeys(slots, 0), dict.fromkeys(slots, 0)
-    for q, (c, x) in text.items():
-        for p in {q, *_above(q)} & slots:
-            own[p] += c
-            linked[p] += x
+    own, linked = ({p: text.get(p, (0, 0))[k] for p in slots} for k in (0, 1))
     good = {p for p in slots if not _aside(p) and own[p] > 0 and linked[p] < 0.5 * own[p]}
     below: dict[str, int] = {}
     for q in good:
@@ -230,7 +225,7 @@ def _main_paths(slots: set[str], text: dict[str, tuple[int, int]]) -> set[str]:
     return {p for p in deepest if own[p] >= 0.25 * most}
 
 
-def deduce(stats: pd.DataFrame) -> dict:
+def deduce(stats: pd.DataFrame, fixed_pages: int) -> dict:
     """One host's template: its tokens in order and, for the slot after each, whether it is main text."""
     pages = int(stats.loc[stats["kind"] == 2, "pages"].max())
     once = stats[(stats["kind"] == 0) & (stats["total"] == stats["pages"]) & (2 * stats["pages"] >= pages)].copy()
@@ -254,21 +249,22 @@ def deduce(stats: pd.DataFrame) -> dict:
         after.append(path.rpartition("/")[0] if tag.startswith("/") else f"{path}/{tag}")
     paths = stats[stats["kind"] == 1]
     text = {p: (c, linked) for p, c, linked in zip(paths["key"], paths["chars"], paths["linked"], strict=True)}
-    good = _main_paths(set(after), text)
+    fixed = set(paths.loc[(paths["least"] == paths["most"]) & (paths["pages"] >= fixed_pages), "key"])
+    good = _main_paths(set(after) - fixed, text) or _main_paths(set(after), text)
     main = [p in good for p in after]
     return {"tokens": kept, "main": main}
 
 
-def templates(pages: DataFrame, min_pages: int = 3) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = 3, fixed_pages: int = 5) -> DataFrame:
     """host, template (JSON) of hosts and layouts with ``min_pages`` pages, and of all pages under "*"."""
     stats = cut(observe(pages))
     sizes = stats.where("kind = 2").select("host", F.col("pages").alias("of"))
     some = stats.join(sizes, "host").where((F.col("of") >= min_pages) | (F.col("host") == "*"))
-    # tokens on few pages and paths with hardly any text cannot matter: a host's rest is a page's worth of rows
-    some = some.where((F.col("kind") == 2) | (2 * F.col("pages") >= F.col("of")) | ((F.col("kind") == 1) & (20 * F.col("pages") >= F.col("of"))))
+    # a template has tokens on half the pages at least, and its slots are paths on as many: a host's rest is a page's worth of rows
+    some = some.where((F.col("kind") == 2) | (2 * F.col("pages") >= F.col("of")))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(deduce(pdf))]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [json.dumps(deduce(pdf, fixed_pages))]})
 
     return cut(some.groupBy("host").applyInPandas(one, "host string, template string"))
 
@@ -291,11 +287,12 @@ def own_text(page: str) -> str:
     for _, path, tag, t in seen:
         size = len(t.strip())
         if size:
-            c, x = text.get(before, (0, 0))
-            text[before] = c + size, x + (size if link else 0)
+            for q in (before, *_above(before)):
+                c, x = text.get(q, (0, 0))
+                text[q] = c + size, x + (size if link else 0)
         before = path
         link = 1 if tag == "a" else 0 if tag == "/a" else link
-    good = _main_paths({p for q in text for p in (q, *_above(q))}, text)
+    good = _main_paths(set(text), text)
     wanted = {q: not _aside(q) and not good.isdisjoint((q, *_above(q))) for q in text}
     pieces, before = [], ""
     for _, path, tag, t in seen:
@@ -311,7 +308,7 @@ def own_text(page: str) -> str:
 
 def main_text(page: str, template: dict) -> str:
     place = template["place"]
-    main, at, pieces, skip, met = template["main"], -1, [], [], not place
+    main, at, pieces, skip, met = template["main"], -1, [], "", not place
     inside = template["all"]
     for token, path, tag, text in events(page):
         if inside and not skip and text:
@@ -326,20 +323,20 @@ def main_text(page: str, template: dict) -> str:
         i = place.get(token, -1)
         if i > at:
             pieces.append(None)
-            at, inside, skip = i, main[i], []
+            at, inside, skip = i, main[i], ""
             met = met or inside
         elif inside and name in STRUCTURE:
-            if tag[0] != "/" and _aside(path[path.rfind("/") :]):
-                skip.append(path)
-            elif skip and not path.startswith(skip[-1]):
-                skip.pop()
+            if skip and not f"{path}/".startswith(f"{skip}/"):
+                skip = ""
+            if not skip and tag[0] != "/" and _aside(path[path.rfind("/") :]):
+                skip = path
     return _joined(pieces) if met else own_text(page)
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 3, broadcast_bytes: int = 16 << 20) -> DataFrame:
+def extract_main_text(pages: DataFrame, min_pages: int = 3, fixed_pages: int = 5, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """page_id, url, text, n_chars."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = templates(p, min_pages)
+    known = templates(p, min_pages, fixed_pages)
     common = known.where("host = '*'").first()
     fallback = common["template"] if common else json.dumps({"tokens": [], "main": []})
     hosts, layouts = known.where("host <> '*' AND NOT contains(host, '\n')"), known.where("contains(host, '\n')")

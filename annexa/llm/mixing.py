@@ -17,9 +17,9 @@ rows. Classes make c inexact by far less than a percent, which moves chances
 and not the words taken: the cut through the ranks is at the exact target.
 
 Cases: null text has size 0; a document of size 0 is never taken; a null
-source is one source, last in order; repeated rows are told apart by their
-count within equal rows only as far as whole rows differ, equal rows share
-one draw; an empty table gives an empty result; other columns are ignored.
+source is one source, last in order; the draw is over doc_id, source and text,
+so only rows equal in all three share one, and which of those is taken makes no
+difference to the mix; very long texts are counted whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     sized = rows.mapInArrow(count, "doc_id long, source string, th long, size long")
-    return sized.withColumn("u", (F.pmod(F.xxhash64(F.lit(17), "doc_id", "source", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52))
+    return sized.withColumn("u", (F.pmod(F.xxhash64(F.lit(17), "doc_id", "source", "th"), F.lit(1 << 52)) + 0.5) / float(1 << 52))
 
 
 def targets(total: np.ndarray, weight: np.ndarray, max_ratio: float) -> np.ndarray:
@@ -126,7 +126,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_ratio
     rows = rows.join(edge, s.eqNullSafe(F.col("s")), "left").withColumn("state", F.when(b.isNotNull(), state)).drop("s", "b")
     # Only buckets that the cut runs through are ranked; each has about one of _BUCKETS of its source.
     inside = rows.where("state = 0")
-    w = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "th", "size").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(w))
     # the document on the border comes in if that brings the words nearer to the target
     taken = F.when(F.col("upto") - F.col("size") / 2 <= F.col("need"), 1).otherwise(0)

@@ -7,10 +7,13 @@ more like, and a logistic curve fitted on other labelled texts turns it into a
 probability. Only the text decides.
 
 Bounds: the dictionaries use ``sample`` labelled texts a class and the curve
-``sample`` more, each text whole, chosen by hash among all labelled
-rows that may be learnt from. These rows alone, as many whatever the corpus, come
-to the driver; the class shares that set the curve's level are counted over
-all labels. Scoring reads every text whole.
+``sample`` more, chosen by hash among all labelled rows that may be learnt from.
+Of the texts for the dictionaries the driver gathers SLICES slices of SLICE
+characters each at most, spread over the whole text; the curve's texts are
+compressed whole by the executors, and one number each comes back. So what the
+driver holds is bounded whatever the corpus and the length of its texts. The
+class shares that set the curve's level are counted over all labels. Scoring
+reads every text whole.
 
 Cases: null and empty texts score the class share; labels that are null or
 contradict one another for one doc_id are left out; where one class has no
@@ -26,10 +29,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BLOCK = 1024
+SLICE = 2048
+SLICES = 8
 
 
 def held_out(c="doc_id"):
@@ -51,8 +58,7 @@ def contrast(text: bytes, coders) -> float:
     return (size[1] - size[0]) / (size[0] + size[1]) if text else 0.0
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    parts = [t[k : k + 2048] for t in texts for k in range(0, len(t), 2048)]
+def _dictionary(parts: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, parts, k=200, d=8).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on: their own bytes serve as content
@@ -73,34 +79,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(b[0]), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, dict_size: int = 393_216, level: int = 3) -> dict:
+def _sampled(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
+    """quality, text, rank: 2 * sample labelled texts a class at most, in order of a hash; a class's lone text as its two halves."""
+    picked = None
+    for q in (0, 1):  # the same number of rows for any corpus
+        some = known.where(F.col("quality") == q).orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id").limit(2 * sample)
+        picked = some if picked is None else picked.union(some)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''")
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    of_class = Window.partitionBy("quality")
+    rows = rows.withColumn("rank", F.row_number().over(of_class.orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id"))).withColumn("n", F.count("*").over(of_class))
+    half = F.ceil(F.length("text") / 2).cast("int")
+    halves = F.array(F.substr("text", F.lit(1), half), F.coalesce(F.nullif(F.substr("text", half + 1), F.lit("")), F.col("text")))
+    lone = rows.where("n = 1").select("quality", F.posexplode(halves).alias("rank", "text")).select("quality", "text", F.col("rank") + 1)
+    return cut(rows.where("n > 1").select("quality", "text", "rank").union(lone))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1000, dict_size: int = 393_216, level: int = 3) -> dict:
     """The model: both dictionaries, slope, level and class share."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("q")).where("quality = q").drop("q")
     n = {int(r["quality"]): int(r["n"]) for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-    picked = None
-    for q in (0, 1):  # the same number of rows for any corpus: the two sorts keep 2 * sample rows each
-        some = known.where(F.col("quality") == q).orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id").limit(2 * sample)
-        picked = some if picked is None else picked.union(some)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''")
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id", "text").limit(4 * sample).collect()
-    side = {q: [r["text"].encode() for r in rows if r["quality"] == q] for q in (0, 1)}
+    rows = _sampled(docs, known, sample)
     model = {"share": share, "level": level, "good": b"", "bad": b"", "slope": 0.0, "base": math.log(share / (1 - share))}
-    if not side[0] or not side[1]:
+    some = F.least(F.lit(SLICES), F.ceil(F.length("text") / SLICE)).cast("int")
+    slices = F.transform(F.sequence(F.lit(0), some - 1), lambda i: F.substr("text", F.floor(i * F.length("text").cast("long") / some).cast("int") + 1, F.lit(SLICE)))
+    parts: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in rows.where("rank % 2 = 1").select("quality", "rank", slices.alias("s")).orderBy("quality", "rank").collect():
+        parts[r["quality"]] += [x.encode() for x in r["s"]]
+    if not parts[0] or not parts[1]:
         return model
-    for q in (0, 1):
-        if len(side[q]) == 1:  # a lone text: half to learn from, half for the curve
-            (t,) = side[q]
-            side[q] = [t[: (len(t) + 1) // 2], t[(len(t) + 1) // 2 :] or t]
-    model["bad"], model["good"] = (_dictionary(side[q][::2], dict_size) for q in (0, 1))
-    coders = _coders(model["good"], model["bad"], level)
-    x, y = [], []
-    for q in (0, 1):
-        for t in side[q][1::2]:
-            x.append(contrast(t, coders))
-            y.append(q)
-    x, y = np.array(x), np.array(y, float)
+    bad, good = (_dictionary(parts[q], dict_size) for q in (0, 1))
+    model |= {"good": good, "bad": bad}
+
+    def contrasts(batches):
+        coders = _coders(good, bad, level)
+        for rb in batches:
+            x = [contrast(t.encode(), coders) for t in rb.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rb.column("quality").cast(pa.int32()), rb.column("rank").cast(pa.int32()), pa.array(x, pa.float64())], ["quality", "rank", "x"])
+
+    # two numbers a row, and 2 * sample rows
+    seen = rows.where("rank % 2 = 0").select("quality", "rank", "text").mapInArrow(contrasts, "quality int, rank int, x double").orderBy("quality", "rank").collect()
+    x, y = np.array([r["x"] for r in seen]), np.array([r["quality"] for r in seen], float)
     w = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum()) * len(y)
     model["slope"], model["base"] = _logistic(x, y, w)
     return model
@@ -129,6 +150,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return chosen.mapInArrow(run, StructType([*chosen.schema.fields]).add("score", DoubleType()))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = 1000) -> DataFrame:
     """``docs`` with a column score."""
     return score(docs, fit(docs, labels, sample))

@@ -73,6 +73,10 @@ QUERIES = {f.__name__: f for f in (op1_lsh_forest, op2_substring_dedup, op3_temp
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 #: Where SQL can state the result on whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op1_lsh_forest": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND len(q.x) = len(v.x))
+SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20""",
     "op2_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, unnest(generate_series(1, len(w) - 19)) AS i, w FROM d WHERE len(w) >= 20),
@@ -86,7 +90,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT pag
 m AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM q),
 v AS (SELECT *, list_transform(range(0, 8), lambda g: list_sum(list_transform(range(1, 6), lambda j: (instr('0123456789abcdef', x[5 * g + j]) - 1) * (1 << (4 * (5 - j)))))::BIGINT) AS parts FROM m)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
- CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM v""",
+ CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM v""",
     "op5_chat_format": """
 WITH src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -13,8 +13,9 @@ attempts leave no trace in it. Reading back streams record by record.
 
 Cases: null html is an empty payload; payloads under ``min_bytes`` are all
 responses; rows repeated whole (same page_id and payload) are responses each;
-a null page_id is kept, comes last among equal payloads and is written as
-"null"; an empty table makes no archive; other columns are ignored.
+a null page_id is kept, written as "null" and comes last among equal payloads (a
+revisit, or a response if no equal payload has an id); very long payloads are
+records like others; an empty table makes no archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,20 +38,39 @@ DICT_FRAME = 0x184D2A5D
 EPOCH = "1970-01-01T00:00:00Z"
 
 
-def roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, digest (hex SHA-1), first: the smallest page_id of the payload, for pages that revisit it."""
-    d = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
-    d = d.where(F.col("size") >= min_bytes)
-    first = d.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return d.join(first, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
+def firsts(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """digest (hex SHA-1), first (smallest page_id), n: the payloads that several records share."""
+    payload = F.coalesce("html", F.lit(""))
+    d = pages.where(F.octet_length(payload) >= min_bytes).select("page_id", F.sha1(payload).alias("digest"))
+    return d.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+
+
+def marked(pages: DataFrame, min_bytes: int = 0, hot_rows: int = 100_000) -> DataFrame:
+    """page_id, url, html, first: null for a response, else the page that the record revisits.
+
+    Payloads of more than ``hot_rows`` records are at most one for so many
+    records, so they are broadcast; their pages then stay out of the join by
+    digest, in which they would meet in one task.
+    """
+    shared = cut(firsts(pages, min_bytes))
+    hot = shared.where(F.col("n") > hot_rows).select(F.col("digest").alias("h"), F.col("first").alias("hot"))
+    rest = shared.where(F.col("n") <= hot_rows).select(F.col("digest").alias("r"), "first")
+    payload = F.coalesce("html", F.lit(""))
+    p = pages.withColumn("digest", F.when(F.octet_length(payload) >= min_bytes, F.sha1(payload)))
+    p = p.join(F.broadcast(hot), F.col("digest") == F.col("h"), "left")
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    p = p.withColumn("digest", F.when(F.col("hot").isNull() & F.col("digest").isNotNull(), F.col("digest")).otherwise(alone))
+    p = p.join(rest, F.col("digest") == F.col("r"), "left").withColumn("first", F.coalesce("hot", "first"))
+    return p.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).alias("first"))
 
 
 def build_dictionary(pages: DataFrame, samples: int = 256, size: int = 65_536) -> bytes:
-    """A dictionary from ``samples`` records, 16 KB of each at most."""
-    # keys first: what the driver gathers is the samples, however many partitions there are
+    """A dictionary from ``samples`` records: 8 slices of 2,048 characters, spread over the whole record, of each."""
+    # keys first: what the driver gathers is the slices, however many partitions there are
     keys = pages.where("html <> ''").select("page_id", F.xxhash64("page_id").alias("k")).orderBy("k").limit(samples).select("page_id").distinct()
-    pick = pages.select("page_id", F.substring("html", 1, 16_384).alias("h")).where("h <> ''").join(F.broadcast(keys), "page_id").orderBy("page_id", "h").limit(samples)
-    parts = [r["h"].encode()[k : k + 2048] for r in pick.collect() for k in range(0, len(r["h"]), 2048)]
+    slices = F.expr("transform(sequence(0, least(8, int(ceil(length(html) / 2048))) - 1), i -> substring(html, 1 + int(i * bigint(length(html)) / least(8, int(ceil(length(html) / 2048)))), 2048))")
+    pick = pages.where("html <> ''").join(F.broadcast(keys), "page_id").select("page_id", slices.alias("s")).orderBy("page_id", "s").limit(samples)
+    parts = [x.encode() for r in pick.collect() for x in r["s"]]
     try:
         return zstandard.train_dictionary(size, parts, k=200, d=8).as_bytes()
     except zstandard.ZstdError:  # too few records to train on
@@ -79,9 +99,6 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     """Writes the archives and returns their manifest: path, records, bytes."""
     dictionary = build_dictionary(pages)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    r = roles(p, min_bytes).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "first"))).alias("firsts"))
-    marked = p.join(r, "page_id", "left")
-    marked = marked.select("page_id", "url", "html", F.try_element_at("firsts", F.sha1(F.coalesce("html", F.lit("")))).alias("first"))
 
     def write(rows):
         fs, root = _filesystem(folder)
@@ -110,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
             done.append((path, n, raw))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return cut(marked.mapInArrow(write, "path string, records long, bytes long"))
+    return cut(marked(p, min_bytes).mapInArrow(write, "path string, records long, bytes long"))
 
 
 def parse_records(stream):
