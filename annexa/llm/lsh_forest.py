@@ -119,8 +119,11 @@ def search_shard(x: np.ndarray, q: np.ndarray, k: int, trees: int, share: float,
         if len(at) > k + 1:
             # a tie at the border stays in: ids decide it later
             border = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-            near = s >= border
-            at, s = at[near], s[near]
+            at = at[s >= border - 1e-9 * abs(border)]
+        # those that may stand are summed component by component, in one order on every machine
+        s = np.zeros(len(at))
+        for j in range(x64.shape[1]):
+            s += x64[at, j] * float(q[i, j])
         out.append((at, s))
     return out
 
