@@ -41,14 +41,19 @@ def overlap_merge(sequences: str) -> Column:
     )
 
 
-def edit_distance(a: str, b: str) -> Column:
-    """Levenshtein distance of two token arrays."""
-    return F.expr(
-        f"""case when size({a}) = 0 then size({b}) when size({b}) = 0 then size({a}) else
-        element_at(aggregate({a}, transform(sequence(0, size({b})), j -> j), (up, x) ->
-          aggregate(sequence(1, size({b})), array(up[0] + 1), (row, j) -> array_append(row,
-            least(up[j] + 1, row[j - 1] + 1, up[j - 1] + if({b}[j - 1] = x, 0, 1))))), -1) end"""
-    )
+def edit_distance(a, b) -> Column:
+    """Levenshtein distance of two token arrays.
+
+    The pair's distinct tokens become one character each and the engine's own
+    distance of two texts does the rest; surrogates are left out of the
+    characters, so a pair may have 63,000 different tokens.
+    """
+    a, b = _c(a), _c(b)
+    known = F.array_distinct(F.concat(a, b))
+    place = lambda x: F.array_position(known, x).cast("int")
+    sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(n + F.when(n <= 0xD700, F.lit(255)).otherwise(F.lit(255 + 2048))), 4, "0")), "UTF-16BE")
+    as_text = lambda x: F.array_join(F.transform(x, lambda v: sign(place(v))), "")
+    return F.levenshtein(as_text(a), as_text(b))
 
 
 def common_length(a: str, b: str) -> Column:

@@ -88,9 +88,9 @@ def answer(c) -> Column:
 
 
 def as_set(c) -> Column:
-    """A list answer as a sorted set: separators , and ;, bars as colons, no space around colons."""
+    """A list answer as a sorted set: separators , and ; (full-width ones too), bars as colons, no space around colons."""
     t = F.regexp_replace(F.regexp_replace(label(c), r"\|", ":"), r"\s*:\s*", ":")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(t, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(t, "[,;，；]"), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def same_answer(a, b) -> Column:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rollup import keep_one
+
 
 def checked(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", one_to_one: bool = False) -> DataFrame:
     """A join that fails at run time if the right side (or either, one_to_one) repeats a key.
 
-    The count rides along in the right side's rows, so no extra action runs.
+    A side becomes one row a key by an aggregate, which combines repeats before
+    the shuffle and fails on the first; so a hot key is never gathered.
     """
 
     def sole(df: DataFrame) -> DataFrame:
-        once = F.count("*").over(Window.partitionBy(*keys)) == 1
-        return df.withColumn("_ok", F.assert_true(once, F.lit("a key is repeated on a side that may not repeat it"))).where("_ok IS NULL").drop("_ok")
+        rest = [c for c in df.columns if c not in keys]
+        row = F.first(F.struct(*rest)) if rest else F.lit(None)
+        one = df.groupBy(*keys).agg(F.count("*").alias("_n"), row.alias("_row"))
+        ok = F.assert_true(F.col("_n") == 1, F.lit("a key is repeated on a side that may not repeat it"))
+        return one.withColumn("_ok", ok).where("_ok IS NULL").select(*keys, *(F.col("_row")[c].alias(c) for c in rest))
 
     return (sole(left) if one_to_one else left).join(sole(right), keys, how)
 
@@ -49,3 +55,37 @@ def diff_summary(diff: DataFrame, keys: list[str] = ()) -> DataFrame:
     """first (the first place that differs), mismatches, missing, extra, by keys."""
     count = lambda s: F.count_if(F.col("status") == s)
     return diff.groupBy(*keys).agg(F.min(F.when(F.col("status") != "match", F.col("pos"))).alias("first"), count("mismatch").alias("mismatches"), count("missing").alias("missing"), count("extra").alias("extra"))
+
+
+def suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffixes: tuple[str, str], how: str = "inner") -> DataFrame:
+    """An equi join in which columns that both sides have get their side's suffix, and no others."""
+    both = (set(left.columns) & set(right.columns)) - set(keys)
+    named = lambda df, end: df.select(*(F.col(c).alias(c + end if c in both else c) for c in df.columns))
+    return named(left, suffixes[0]).join(named(right, suffixes[1]), keys, how)
+
+
+def stem(c) -> Column:
+    """A file's name without folders and extension, in lower case; a name that starts with its only dot is kept."""
+    name = F.regexp_extract(F.lower(F.trim(F.col(c) if isinstance(c, str) else c)), r"([^/]*)$", 1)
+    return F.coalesce(F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", ""), F.lit(""))
+
+
+def by_stem(left: DataFrame, right: DataFrame, name: str, order_left: list[str], order_right: list[str], suffixes: tuple[str, str] = ("_gt", "_pred")) -> DataFrame:
+    """Rows of both sides whose names have one stem; of a side's rows with one stem the first by order counts."""
+    first = lambda df, order: keep_one(df.withColumn("stem", stem(name)), ["stem"], order)
+    return suffixed(first(left, order_left), first(right, order_right), ["stem"], suffixes)
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """``df`` with the table's value; a key that the table lacks fails at run time."""
+    known = table.select(key, F.struct(value).alias("_found"))
+    ok = F.assert_true(F.col("_found").isNotNull(), F.concat(F.lit("no entry for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    joined = df.join(known, key, "left").withColumn("_ok", ok).where("_ok IS NULL")
+    return joined.withColumn(value, F.col("_found")[value]).drop("_found", "_ok")
+
+
+def shared_questions(left: DataFrame, right: DataFrame, wanted: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Feature -> those of its questions that are columns of both sides, in order; features without any are left out."""
+    both = set(left.columns) & set(right.columns)
+    found = {f: [q for q in questions if q in both] for f, questions in wanted.items()}
+    return {f: q for f, q in found.items() if q}

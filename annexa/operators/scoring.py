@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, jsonx, textscore
 from ..functions.text import same_answer
 
-#: Weights of a feature's questions by their number.
+#: Weights of a feature's questions by their number; more questions weigh the same.
 WEIGHTS = {1: [1.0], 2: [0.7, 0.3], 3: [0.7, 0.15, 0.15], 4: [0.7, 0.1, 0.1, 0.1], 5: [0.7, 0.075, 0.075, 0.075, 0.075]}
 
 
@@ -22,7 +22,7 @@ def gated(answers: DataFrame, keys: list[str], number: str, truth: str, pred: st
     hits = F.sort_array(F.collect_list(F.when(F.col(number) > 0, F.struct(F.col(number).alias("q"), same_answer(truth, pred).cast("double").alias("hit")))))
     weights = F.create_map(*[x for n, w in WEIGHTS.items() for x in (F.lit(n), F.array(*map(F.lit, w)))])
     by = answers.groupBy(*keys).agg(shut.alias("_shut"), hits.alias("_h"))
-    total = F.aggregate(F.zip_with("_h", F.coalesce(weights[F.size("_h")], F.array().cast("array<double>")), lambda h, w: h["hit"] * w), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    total = F.aggregate(F.zip_with("_h", F.coalesce(weights[F.size("_h")], F.transform("_h", lambda h: 1.0 / F.size("_h"))), lambda h, w: h["hit"] * w), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
     return by.select(*keys, F.when(F.col("_shut") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).alias("score"))
 
 

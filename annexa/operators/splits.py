@@ -44,3 +44,23 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, greedy: b
     kind = counts.schema[group].dataType.simpleString()
     dealt = counts.groupBy("_one").applyInPandas(deal, f"{group} {kind}, fold int")
     return df.join(dealt, group)
+
+
+def checked_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """``df`` as it is; fails at run time if a row has no fold of 0..folds-1 or a group lies in two."""
+    span = df.groupBy(group).agg(F.min("fold").alias("_a"), F.max("fold").alias("_b"), F.count("*").alias("_n"), F.count("fold").alias("_k"))
+    fine = (F.col("_n") == F.col("_k")) & (F.col("_a") == F.col("_b")) & (F.col("_a") >= 0) & (F.col("_b") < folds)
+    ok = span.withColumn("_ok", F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("a row has no fold, or a group has two")))
+    return df.join(ok.where("_ok IS NULL").select(group), group)
+
+
+def train_and_validation(df: DataFrame, folds: int = 5) -> DataFrame:
+    """Each row once per ``split``: validation in its own fold's, train in all others."""
+    every = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    return every.withColumn("part", F.when(F.col("split") == F.col("fold"), "validation").otherwise("train"))
+
+
+def split_summary(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
+    """split, part, rows, groups, positive: the sizes of every train and validation part, from one count per group and fold."""
+    counts = df.groupBy("fold", group).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("int")).alias("y"))
+    return train_and_validation(counts, folds).groupBy("split", "part").agg(F.sum("n").alias("rows"), F.count_distinct(group).alias("groups"), F.sum("y").alias("positive"))

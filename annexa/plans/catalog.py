@@ -241,42 +241,39 @@ def bigram_freq(spark, sf_dir):
     return g.groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n")).where("n >= 5")
 
 
-def _event_lists(t: Tables, most: int | None = None) -> DataFrame:
-    """Each user's event types in order, whole unless ``most`` is given, beside the next user's."""
+def _event_lists(t: Tables) -> DataFrame:
+    """Each user's event types in order beside the next user's."""
     e = t.events.select("user_id", F.struct("ts", "event_id", "event_type").alias("e"))
-    whole = F.array_sort(F.collect_list("e"))
-    own = e.groupBy("user_id").agg(F.transform(F.slice(whole, 1, most) if most else whole, lambda x: x["event_type"]).alias("a"))
+    own = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["event_type"]).alias("a"))
     other = own.select((F.col("user_id") - 1).alias("user_id"), F.col("a").alias("b"))
     return own.join(other, "user_id")
 
 
-_LISTS = """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), c AS (SELECT DISTINCT event_type, chr(96 + CAST(dense_rank() OVER (ORDER BY event_type) AS INT)) AS l FROM (SELECT DISTINCT event_type FROM events)),
-s AS (SELECT user_id, string_agg(l, '' ORDER BY n) AS a FROM e JOIN c USING (event_type) WHERE n <= 10 GROUP BY user_id)"""
+_LISTS = """WITH c AS (SELECT event_type, chr(96 + CAST(row_number() OVER (ORDER BY event_type) AS INT)) AS l FROM (SELECT DISTINCT event_type FROM events)),
+s AS (SELECT user_id, string_agg(l, '' ORDER BY ts, event_id) AS a FROM events JOIN c USING (event_type) GROUP BY user_id)"""
 
 
 @query(_LISTS + " SELECT x.user_id, levenshtein(x.a, y.a) AS distance FROM s x JOIN s y ON y.user_id = x.user_id + 1")
 def edit_distance(spark, sf_dir):
-    """The first 10 events only, as its SQL has it; edit_distance_whole has no limit."""
-    return _event_lists(Tables(spark, sf_dir), 10).select("user_id", arrays.edit_distance("a", "b").cast("long").alias("distance"))
-
-
-_WHOLE_LISTS = """WITH c AS (SELECT event_type, chr(96 + CAST(row_number() OVER (ORDER BY event_type) AS INT)) AS l FROM (SELECT DISTINCT event_type FROM events)),
-s AS (SELECT user_id, string_agg(l, '' ORDER BY ts, event_id) AS a FROM events JOIN c USING (event_type) GROUP BY user_id)"""
-
-
-@query(_WHOLE_LISTS + " SELECT x.user_id, levenshtein(x.a, y.a) AS distance FROM s x JOIN s y ON y.user_id = x.user_id + 1")
-def edit_distance_whole(spark, sf_dir):
     return _event_lists(Tables(spark, sf_dir)).select("user_id", arrays.edit_distance("a", "b").cast("long").alias("distance"))
 
 
-@query()
+# the table of common lengths row by row, each row from the one above
+@query("""WITH RECURSIVE s AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS a FROM events GROUP BY user_id), p AS (SELECT x.user_id, x.a, y.a AS b FROM s x JOIN s y ON y.user_id = x.user_id + 1),
+r AS (SELECT user_id, a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT) AS up FROM p
+ UNION ALL SELECT user_id, a, b, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda row, j: list_append(row, CASE WHEN b[j[1]] = a[i + 1] THEN up[j[1]] + 1 ELSE greatest(up[j[1] + 1], row[j[1]]) END), [0::BIGINT]) FROM r WHERE i < len(a)),
+l AS (SELECT user_id, up[-1] AS lcs, len(a) AS pred_len, len(b) AS gt_len FROM r WHERE i = len(a))
+SELECT user_id, lcs, pred_len, gt_len, lcs / pred_len AS lcs_precision, lcs / gt_len AS lcs_recall FROM l""")
 def sequence_metrics(spark, sf_dir):
     lcs = arrays.common_length("a", "b")
     out = _event_lists(Tables(spark, sf_dir)).select("user_id", lcs.alias("lcs"), F.size("a").alias("pred_len"), F.size("b").alias("gt_len"))
     return out.withColumn("lcs_precision", F.coalesce(F.try_divide("lcs", "pred_len"), F.lit(0.0))).withColumn("lcs_recall", F.coalesce(F.try_divide("lcs", "gt_len"), F.lit(0.0)))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT user_id, ts::DATE AS day, list(event_type ORDER BY ts, event_id) AS s FROM events GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k FROM d),
+r AS (SELECT user_id, k, s AS m FROM n WHERE k = 1
+ UNION ALL SELECT r.user_id, n.k, r.m || n.s[1 + list_max(list_filter(range(0, 1 + least(len(r.m), len(n.s))), lambda j: j = 0 OR r.m[len(r.m) - j + 1 : len(r.m)] = n.s[1 : j])) : len(n.s)] FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+SELECT user_id, array_to_string(arg_max(m, k), ',') AS merged FROM r GROUP BY user_id""")
 def overlap_merge(spark, sf_dir):
     e = Tables(spark, sf_dir).events
     by_day = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("s"))
@@ -514,17 +511,10 @@ def even_indices(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", numeric.even_indices(F.col("p_size").cast("int"), 8).alias("frames"))
 
 
-@query("""SELECT user_id, round(CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE m / (len(a) + len(b) - m) END, 6) AS share FROM (SELECT user_id, a, b, list_sum(list_transform(list_distinct(a), lambda v: least(len(list_filter(a, lambda w: w = v)), len(list_filter(b, lambda w: w = v))))) AS m
- FROM (SELECT x.user_id, x.a, y.a AS b FROM (SELECT user_id, list(event_type ORDER BY ts, event_id)[1:10] AS a FROM events GROUP BY user_id) x JOIN (SELECT user_id, list(event_type ORDER BY ts, event_id)[1:10] AS a FROM events GROUP BY user_id) y ON y.user_id = x.user_id + 1))""")
-def bag_overlap(spark, sf_dir):
-    """The first 10 events only, as its SQL has it; bag_overlap_whole has no limit."""
-    return _event_lists(Tables(spark, sf_dir), 10).select("user_id", _r(arrays.common_share("a", "b")).alias("share"))
-
-
 @query("""WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n) AS n FROM n GROUP BY user_id),
 m AS (SELECT x.user_id, sum(least(x.n, y.n)) AS m FROM n x JOIN n y ON y.user_id = x.user_id + 1 AND y.event_type = x.event_type GROUP BY 1)
 SELECT x.user_id, round(coalesce(m, 0) / (x.n + y.n - coalesce(m, 0)), 6) AS share FROM t x JOIN t y ON y.user_id = x.user_id + 1 LEFT JOIN m ON m.user_id = x.user_id""")
-def bag_overlap_whole(spark, sf_dir):
+def bag_overlap(spark, sf_dir):
     return _event_lists(Tables(spark, sf_dir)).select("user_id", _r(arrays.common_share("a", "b")).alias("share"))
 
 
@@ -552,10 +542,10 @@ def wide_metrics(spark, sf_dir):
 
 
 @query("""SELECT coalesce(d.source, a.source) AS source, coalesce(d.n, a.n) AS n, CASE WHEN d.source IS NULL THEN a.m END AS m
- FROM (SELECT source, count(*) AS n, max(n_chars) AS m FROM documents GROUP BY source) a LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' AND doc_id < 40 GROUP BY source) d ON d.source = a.source""")
+ FROM (SELECT source, count(*) AS n, max(n_chars) AS m FROM documents GROUP BY source) a LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source) d ON d.source = a.source""")
 def merge_first(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
-    done = d.where("lang = 'en' AND doc_id < 40").groupBy("source").agg(F.count("*").alias("n"))
+    done = d.where("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"))
     return sinks.merge_first(done, d.groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("m")), "source").select("source", "n", "m")
 
 

@@ -75,3 +75,32 @@ def wide_metrics(facts: DataFrame, row: str, feature: str, metric: str, value: s
         return F.when(hit.isNull(), "").otherwise(F.format_string(f"%.{digits}f", hit)).alias(f"{f}_{m}")
 
     return facts.groupBy(row).agg(*[cell(f, m) for f in features for m in metrics])
+
+
+def write_unquoted(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Lines of bare values, as they stand; a value that holds the separator or a line break fails the write."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    ok = F.assert_true(~F.concat(*cells).rlike(f"[{sep}\\n\\r]"), F.lit("a value needs quotes"))
+    head = df.sparkSession.createDataFrame([(sep.join(df.columns), 0)], "value string, _k int")
+    body = df.select(F.concat_ws(sep, *cells).alias("value"), F.lit(1).alias("_k"), ok.alias("_ok")).where("_ok IS NULL").drop("_ok")
+    head.union(body).select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_report(sheets: dict[str, DataFrame], path: str) -> None:
+    """A folder per sheet, each a CSV with a header; the summary sheet of a report is one of them."""
+    for name, df in sheets.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def write_json_lines(df: DataFrame, path: str, summary: dict[str, object] | None = None) -> None:
+    """JSON lines, and beside them a one-row summary: the row count and what is given."""
+    df.write.mode("overwrite").json(f"{path}/rows")
+    counted = df.sparkSession.read.json(f"{path}/rows", schema=df.schema).agg(F.count("*").alias("rows"))
+    counted.select("rows", *(F.lit(v).alias(k) for k, v in (summary or {}).items())).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def copy_subset(tables: dict[str, DataFrame], keys: DataFrame, key: str, path: str) -> None:
+    """The rows of every table whose key is listed, each table in a folder of its own."""
+    listed = keys.select(key).distinct()
+    for name, df in tables.items():
+        df.join(listed, key, "left_semi").write.mode("overwrite").parquet(f"{path}/{name}")

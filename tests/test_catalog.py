@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from annexa.plans import catalog
+from annexa.plans import catalog, preparation  # noqa: F401
 from tests.conftest import SF
 
 

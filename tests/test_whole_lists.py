@@ -53,7 +53,7 @@ def test_aligned_f1(spark, lists):
 
 
 def test_whole_queries(spark, lists):
-    distance, share = rows(spark, "edit_distance_whole"), rows(spark, "bag_overlap_whole")
+    distance, share = rows(spark, "edit_distance"), rows(spark, "bag_overlap")
     assert distance.keys() == share.keys() == lists.keys()
     for u, (a, b) in lists.items():
         both = sum((Counter(a) & Counter(b)).values())
