@@ -64,11 +64,19 @@ STAGES = [("quality", keep_quality), ("near_copies", drop_near_copies), ("repeat
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # any scheme that Spark can write to
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written under spark.checkpoint.dir and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each written under spark.checkpoint.dir and reread; a stage's rows go once the next one has its own."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
