@@ -46,11 +46,15 @@ def labelled(df: DataFrame, column: str, keep: list[str], ignore: list[str] = ()
 
 
 def with_media(df: DataFrame, media: str, files: DataFrame, path: str = "path") -> DataFrame:
-    """Rows all of whose media (an array of paths) are in the listing of files; rows without media stay."""
-    listed = files.select(F.col(path).alias("_m")).distinct().withColumn("_have", F.lit(True))
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    lost = rows.select("_row", F.explode(media).alias("_m")).join(listed, "_m", "left").where("_have IS NULL").select("_row").distinct()
-    return rows.join(lost, "_row", "left_anti").drop("_row")
+    """Rows all of whose media (an array of paths) are in the listing of files; rows without media stay.
+
+    Rows are found again by their set of media, not by a row number: Spark
+    computes the two sides of the join separately, and would number them apart.
+    """
+    listed = files.select(F.col(path).alias("_m")).distinct()
+    rows = df.withColumn("_set", F.array_sort(F.array_distinct(media)))
+    lost = rows.select("_set").distinct().select("_set", F.explode("_set").alias("_m")).join(listed, "_m", "left_anti").select("_set").distinct()
+    return rows.join(lost, "_set", "left_anti").drop("_set")
 
 
 def in_vocabulary(df: DataFrame, truth: str, label: str) -> DataFrame:
